@@ -192,7 +192,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.02, rounds: int = 60)
     return [float(v) for v in w]
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, bound: int = 2500, folds: int = 5) -> Lexicon:
+def fit_on(docs: DataFrame, labels: DataFrame, bound: int = 2000, folds: int = 5) -> Lexicon:
     """Fit on at most `bound` toxic and `bound` clean labelled documents outside fold 0 of `folds`.
 
     They are those with the smallest hash of the id, whatever their number; their ids, then their texts, come to the driver.
@@ -222,7 +222,7 @@ def score(lexicon: Lexicon, column: str = "text") -> Column:
     return scores(F.col(column))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 2500) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 2000) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
     small_batches(docs.sparkSession)
     lexicon = fit_on(docs, labels, bound)
