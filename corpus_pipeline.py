@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from corpusloom.llm import jaccard, mixing, pieces, pii
 from corpusloom.llm.common import small_batches, table, written
 from corpusloom.llm.toxicity import fit_on, score
 
@@ -16,8 +16,29 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.where(score(lexicon) < 0.5).select(*docs.columns)
 
 
-STAGES = [("toxicity", toxicity_stage)]
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return jaccard.one_of_each(docs)
 
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets; n_chars follows."""
+    return pii.redacted(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it, 0 to 2 times."""
+    return mixing.mixed(docs)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces and pieces: the ids that train a model."""
+    return pieces.encoded(docs)
+
+
+STAGES = [("toxicity", toxicity_stage), ("jaccard", jaccard_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("sentencepiece", pieces_stage)]
+
+#: The stages learn, draw and merge; SQL cannot say that. Tests hold them against brute force.
 ORACLE_SQL = None
 
 

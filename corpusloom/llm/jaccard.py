@@ -205,3 +205,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def lists_left(*tables: DataFrame) -> bool:
     """Whether any of the tables has a row."""
     return any(t.take(1) for t in tables)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, of each component only the document with the smallest id; of rows that share an id one."""
+    found = written(jaccard_components(docs), "jaccard-components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+
+    def to_send(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= SENDABLE else ids
+
+    kept = docs.join(to_send(gone), "doc_id", "left_anti").select(*docs.columns)
+    if not again.take(1):
+        return kept
+    again = to_send(written(again, "jaccard-repeated"))
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

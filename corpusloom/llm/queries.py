@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.common import table
 from corpusloom.llm.jaccard import jaccard_components
 from corpusloom.llm.mixing import mix
+from corpusloom.llm.pieces import round_trips
 from corpusloom.llm.pii import personal_data
 from corpusloom.llm.toxicity import toxicity
 
@@ -17,6 +18,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_sentencepiece": op2_sentencepiece,
     "op5_jaccard": op5_jaccard,
     "op6_mixing": op6_mixing,
     "op10_toxicity": op10_toxicity,
