@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
+from corpusloom.llm.fingerprint import fingerprints
 from corpusloom.llm.jaccard import jaccard_components
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.pieces import round_trips
@@ -22,6 +23,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_fingerprints": op4_fingerprints,
     "op5_jaccard": op5_jaccard,
     "op6_mixing": op6_mixing,
     "op10_toxicity": op10_toxicity,
