@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
 from corpusloom.llm.fingerprint import fingerprints
+from corpusloom.llm.forest import near_duplicates
 from corpusloom.llm.jaccard import jaccard_components
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.pieces import round_trips
@@ -35,6 +36,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_jaccard": op5_jaccard,
     "op6_mixing": op6_mixing,
+    "op9_embeddings": op9_embeddings,
     "op10_toxicity": op10_toxicity,
 }
 
