@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
+from corpusloom.llm.counts import token_counts
 from corpusloom.llm.fingerprint import fingerprints
 from corpusloom.llm.forest import near_duplicates
 from corpusloom.llm.jaccard import jaccard_components
+from corpusloom.llm.mixer import language_scores
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.pieces import round_trips
 from corpusloom.llm.pii import personal_data
@@ -36,6 +38,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_jaccard": op5_jaccard,
     "op6_mixing": op6_mixing,
+    "op7_token_counts": op7_token_counts,
+    "op8_language_scores": op8_language_scores,
     "op9_embeddings": op9_embeddings,
     "op10_toxicity": op10_toxicity,
 }
