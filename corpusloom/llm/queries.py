@@ -13,6 +13,7 @@ from corpusloom.llm.forest import near_duplicates
 from corpusloom.llm.jaccard import jaccard_components
 from corpusloom.llm.mixer import language_scores
 from corpusloom.llm.mixing import mix
+from corpusloom.llm.passages import shared_passages
 from corpusloom.llm.pieces import round_trips
 from corpusloom.llm.pii import personal_data
 from corpusloom.llm.toxicity import toxicity
@@ -26,6 +27,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(table(spark, sf_dir, "documents"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_passages": op3_passages,
     "op4_fingerprints": op4_fingerprints,
     "op5_jaccard": op5_jaccard,
     "op6_mixing": op6_mixing,
