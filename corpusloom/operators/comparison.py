@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def vector_mean(df: DataFrame, by: str, vector: str, digits: int = 4) -> DataFrame:
     """by, pos, mean of each position, in doubles."""
     parts = df.select(by, F.posexplode(vector).alias("pos", "v"))
-    return parts.groupBy(by, "pos").agg(F.round(F.avg(F.col("v").cast("double")), digits).alias("mean"))
+    return parts.groupBy(by, "pos").agg((F.round(F.avg(F.col("v").cast("double")), digits) + F.lit(0.0)).alias("mean"))
 
 
 def variation(vector: str) -> Column:

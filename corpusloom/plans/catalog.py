@@ -150,7 +150,7 @@ def failure_convergence(spark, sf_dir):
     return out.select("event_id", "user_id", "event_type", "consecutive", "non_convergent")
 
 
-@query("""SELECT label, CAST(pos AS INT) AS pos, round(avg(v), 4) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, pos""")
+@query("""SELECT label, CAST(pos AS INT) AS pos, round(avg(v), 4) + 0.0 AS mean FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, pos""")
 def temporal_mean(spark, sf_dir):
     """The mean vector of each label (vectors for frames)."""
     return comparison.vector_mean(table(spark, sf_dir, "embeddings"), "label", "embedding")
@@ -162,7 +162,7 @@ def first_element_variation(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(comparison.variation("embedding"), 6).alias("share"))
 
 
-@query("""WITH m AS (SELECT label, pos, round(avg(v), 4) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, pos),
+@query("""WITH m AS (SELECT label, pos, round(avg(v), 4) + 0.0 AS mean FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, pos),
 f AS (SELECT label AS id, list(mean ORDER BY pos) AS frame FROM m GROUP BY label),
 d AS (SELECT a.id AS left_id, b.id AS right_id, round(list_sum(list_transform(range(1, len(a.frame) + 1), lambda i: abs(a.frame[i] - b.frame[i]))) / len(a.frame), 6) AS distance FROM f a, f b WHERE a.id < b.id)
 SELECT left_id, right_id, distance FROM d ORDER BY distance, left_id, right_id LIMIT 1""")
