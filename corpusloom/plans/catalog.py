@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import schemas
 from corpusloom.functions import classify as C
+from corpusloom.functions import html as H
 from corpusloom.functions import text as X
 from corpusloom.functions import url as U
 from corpusloom.operators import comparison, inventory, links, provenance, sequences
@@ -382,3 +383,24 @@ def finding_class(spark, sf_dir):
     """The class of finding codes, the first pattern that matches."""
     codes = spark.createDataFrame([(c,) for c in CODES], "code string").unionByName(table(spark, sf_dir, "events").select(F.col("event_type").alias("code")).distinct())
     return codes.select("code", C.finding_class(F.col("code")).alias("class"))
+
+
+@query("""SELECT page_id, CAST(idx - 1 AS BIGINT) AS place, CASE WHEN contains(tag, 'src=') THEN 'external' ELSE 'inline' END AS kind FROM (SELECT page_id, unnest(t) AS tag, generate_subscripts(t, 1) AS idx FROM (SELECT page_id, regexp_extract_all(html, '<script[^>]*>') AS t FROM pages))""")
+def page_scripts(spark, sf_dir):
+    """The scripts of each page in order, inline, external or data."""
+    parsed = of_pages(spark, sf_dir).select("page_id", F.posexplode(H.scripts(F.col("html"))).alias("place", "s"))
+    return parsed.select("page_id", F.col("place").cast("bigint").alias("place"), "s.kind")
+
+
+# Pages load nothing from elsewhere; a few lines that do stand beside them.
+LOADS = ["<script src='https://cdn.example/a.js'></script>", "p{background:url(//img.example/x.png)}", "<form action='https://f.example/post'>", "<img src='/local.png'><video poster='http://v.example/p.jpg'>", "@import \"https://c.example/b.css\";"]
+LOADS_SQL = ", ".join("(" + str(-1 - i) + ", '" + t.replace("'", "''") + "')" for i, t in enumerate(LOADS))
+EXTERNAL_SQL = ", ".join(f"('{k}', '" + p.replace("'", "''") + "')" for k, p in H.EXTERNAL if "(?=" not in p)
+
+
+@query(f"""WITH s(id, body) AS (SELECT page_id, html FROM pages UNION ALL VALUES {LOADS_SQL}), k(kind, p) AS (VALUES {EXTERNAL_SQL})
+SELECT id, kind, unnest(regexp_extract_all(body, p, 1)) AS url FROM s, k""")
+def external_resources(spark, sf_dir):
+    """What pages load from elsewhere, by kind."""
+    rows = of_pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.col("html").alias("body")).unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(LOADS)], "id long, body string"))
+    return rows.select("id", F.explode(H.external_resources(F.col("body"))).alias("x")).select("id", "x.*")
