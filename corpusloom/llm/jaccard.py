@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,9 @@ from corpusloom.llm.shingles import mixed, overlap, shingle_set
 
 #: Cells of the table of counts, a power of two, and the pieces that it is summed in.
 CELL_BITS, PIECES = 22, 64
-#: Rounds with pivots; ids that may be broadcast.
-PIVOTS, SENDABLE = 5, 500_000
+#: Rounds with pivots; ids that may be broadcast; longs of a set's parity bits.
+PIVOTS, SENDABLE, PARITY = 2, 500_000, 4
+BITS = [f"b{i}" for i in range(PARITY)]
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -72,20 +74,21 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     return table.reshape(-1)
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), c1, c2 (of the set), g (of prefix and size), prefix: empty where the task has given that of the group before."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def prefixes(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """doc_id, n (set size), c1, c2 (of the set), b0 .. (its parity bits), g (of prefix and size), prefix: empty where the task has given that of the group before."""
     id_type = docs.schema["doc_id"].dataType
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, given = shared.value, set()
         for batch in batches:
-            n, c1, c2, g, lengths, values = [], [], [], [], [], []
+            n, c1, c2, g, lengths, values, bits = [], [], [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t)
                 n.append(len(s))
                 c1.append(int(mixed(s, 1).sum(dtype=np.uint64)))
                 c2.append(int(mixed(s, 2).sum(dtype=np.uint64)))
+                odd = np.bincount((mixed(s, 4) >> np.uint64(56)).astype(np.int64), minlength=64 * PARITY) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.uint64))
                 take = s[np.lexsort((s, table[_cell(s)]))[: len(s) // 5 + 1]] if len(s) else s
                 key = int(mixed(mixed(take, 3) + np.arange(len(take), dtype=np.uint64), len(s)).sum(dtype=np.uint64))
                 g.append(key)
@@ -97,15 +100,19 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
             flat = pa.array(np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64))
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), long(c1), long(c2), long(g), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "c1", "c2", "g", "prefix"])
+            b = np.array(bits, np.uint64).reshape(-1, PARITY)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), long(c1), long(c2), *[long(b[:, i]) for i in range(PARITY)], long(g), pa.ListArray.from_arrays(offsets, flat)], names=shape.fieldNames())
 
-    shape = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in ("n", "c1", "c2", "g")), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    shape = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in ("n", "c1", "c2", *BITS, "g")), T.StructField("prefix", T.ArrayType(T.LongType()))])
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(rows, shape)
 
 
-def _may_link(n: Column, m: Column, i: Column, j: Column) -> Column:
-    """Sizes n, m, places i, j of a common shingle in the order: can 100 * common reach 80 * union?"""
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m))
+def _may_link(x: str, y: str) -> Column:
+    """Units in columns x.., y.. with sizes n and places pos of a common shingle: can 100 * common reach 80 * union?"""
+    n, m, i, j = (F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos"))
+    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS), F.lit(0))
+    # units of several sets have no bits
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m)) & (F.coalesce(9 * differ, F.lit(0)) <= n + m)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -134,67 +141,58 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; links: 100 * common >= 80 * union."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    found = written(prefixes(docs, shingle_counts(docs)), "jaccard-prefixes")
-    nodes = written(found.where("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("g").alias("g")), "jaccard-sets")
-
-    # Groups that share a prefix shingle; one row for each group and shingle, but for what several tasks gave.
-    posted = found.where("size(prefix) > 0").select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    small_batches(docs.sparkSession)
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
+    found = written(prefixes(docs, counts), "jaccard-prefixes")
+    counts.destroy()
+    nodes = found.where("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("g").alias("g"), *[F.min(b).alias(b) for b in BITS])
+    nodes = written(nodes, "jaccard-sets")
+    groups = nodes.groupBy("g").agg(F.count("*").alias("k"), *[F.min(b).alias(b) for b in BITS])
+    groups = groups.select("g", "k", *[F.when(F.col("k") == 1, F.col(b)).alias(b) for b in BITS])
+
+    # Lists of units: the groups with a shingle in their prefix, and the sets of a group of several.
     token = "partition by token"
-    posted = posted.selectExpr("token", "g", "n", "pos", f"min(g) over ({token}) as low", f"max(g) over ({token}) as high").where("low <> high").drop("low", "high")
-    posted = written(posted, "jaccard-postings")
-    members = nodes.groupBy("g").agg(F.count("*").alias("k"))
-    many = written(nodes.join(members.where("k > 1").select("g"), "g").select("rep", "g", "n"), "jaccard-members")
+    posted = found.where("size(prefix) > 0").select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    posted = posted.selectExpr("token", "g", "n", "pos", f"min(g) over ({token}) as low", f"max(g) over ({token}) as high").where("low <> high")
+    unit = F.struct(F.col("g").alias("u"), "n", "pos", *BITS)
+    lists = posted.join(groups, "g").select("token", unit.alias("x"))
+    many = nodes.join(groups.where("k > 1").select("g"), "g", "left_semi")
+    own = F.struct(F.xxhash64("rep").alias("u"), "n", F.lit(0).alias("pos"), *BITS)
+    lists = written(lists.unionByName(many.select(F.col("g").alias("token"), own.alias("x"))), "jaccard-lists")
+    member = nodes.select(F.col("g").alias("u"), "rep").join(lists.select(F.col("x.u").alias("u")).distinct(), "u", "left_semi").unionByName(many.select(F.xxhash64("rep").alias("u"), "rep"))
+    member = written(member, "jaccard-members")
 
     # Texts of the sets that may be looked at, once for all rounds.
-    wanted = nodes.join(posted.select("g").distinct(), "g", "left_semi").select("rep").unionByName(many.select("rep")).distinct()
-    wanted = written(wanted, "jaccard-wanted")
+    wanted = member.select("rep").distinct()
     few = F.broadcast(wanted) if wanted.count() <= SENDABLE else wanted
     texts = written(docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text")).join(few, "rep").dropDuplicates(["rep"]), "jaccard-texts")
-    by_group = written(nodes.select("g", "rep").join(posted.select("g").distinct(), "g", "left_semi"), "jaccard-groups")
 
-    # Lists: of the groups with a shingle, and of the sets of a group. A list is done when all in it is one component.
     links: DataFrame | None = None
     label: DataFrame | None = None
-    lists = posted
-    own = many.select(F.col("g").alias("token"), F.col("rep").alias("g"), "n", F.lit(0).alias("pos"))
+    left, right = member.select(F.col("u").alias("p"), F.col("rep").alias("a")), member.select(F.col("u").alias("q"), F.col("rep").alias("b"))
     for i in range(PIVOTS + 1):
-        pairs = None
-        for which, to_reps in (("groups", True), ("sets", False)):
-            at = lists if to_reps else own
-            member = by_group if to_reps else many.select(F.col("rep").alias("g"), "rep")
-            if label is not None:
-                where = member.join(label, F.col("rep") == F.col("id"), "left").groupBy("g").agg(F.min(F.coalesce("component", "rep")).alias("lo"), F.max(F.coalesce("component", "rep")).alias("hi"))
-                at = at.join(where, "g").selectExpr("*", f"min(lo) over ({token}) as low", f"max(hi) over ({token}) as high").where("low <> high").drop("low", "high", "lo", "hi")
-                at = written(at, f"jaccard-{which}-{i}")
-            if i < PIVOTS:
-                key = F.struct(F.xxhash64("g", F.lit(i)).alias("h"), "g", "n", "pos")
-                with_pivot = at.withColumn("key", key).selectExpr("token", "g", "n", "pos", f"min(key) over ({token}) as pivot").where("pivot.g <> g")
-                rest = with_pivot.select("token", "g", "n", "pos")
-                both = with_pivot.where(_may_link(F.col("n"), F.col("pivot.n"), F.col("pos"), F.col("pivot.pos"))).select(F.least("g", "pivot.g").alias("p"), F.greatest("g", "pivot.g").alias("q"))
-            else:
-                rest = at.limit(0)
-                o = at.select("token", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-                both = at.join(o, "token").where("g < g2").where(_may_link(F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2"))).select(F.col("g").alias("p"), F.col("g2").alias("q"))
-            both = both.distinct()
-            left, right = member.select(F.col("g").alias("p"), F.col("rep").alias("a")), member.select(F.col("g").alias("q"), F.col("rep").alias("b"))
-            both = both.join(left, "p").join(right, "q").select("a", "b")
-            pairs = both if pairs is None else pairs.unionByName(both)
-            if to_reps:
-                lists = rest
-            else:
-                own = rest
-        if label is not None:
-            ca, cb = label.select(F.col("id").alias("a"), F.col("component").alias("ca")), label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"jaccard-pairs-{i}")
-        if i and not lists_left(lists, own, pairs):
-            break
-        linked = written(_verified(pairs, texts), f"jaccard-links-{i}")
+        spans = member.select("u", F.col("rep").alias("lo"), F.col("rep").alias("hi"))
+        if label is not None:  # a list is done when all in it is one component
+            spans = member.join(label, F.col("rep") == F.col("id"), "left").select("u", F.coalesce("component", "rep").alias("lo"), F.coalesce("component", "rep").alias("hi"))
+        spans = spans.groupBy("u").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        at = lists.join(spans, F.col("x.u") == F.col("u")).selectExpr("token", "x", "lo", "hi", f"min(lo) over ({token}) as low", f"max(hi) over ({token}) as high").where("low <> high")
+        apart = (F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
+        if i < PIVOTS:
+            key = F.struct(F.xxhash64("x.u", F.lit(i)).alias("h"), "x", "lo", "hi")
+            at = at.withColumn("key", key).selectExpr("token", "x", "lo", "hi", f"min(key) over ({token}) as pivot").where("pivot.x.u <> x.u")
+            at = written(at.select("token", "x", "lo", "hi", F.col("pivot.x").alias("y"), F.col("pivot.lo").alias("lo2"), F.col("pivot.hi").alias("hi2")), "jaccard-round")
+            pairs, lists = at.where(apart & _may_link("x", "y")), at.select("token", "x")
+        else:
+            at = written(at.select("token", "x", "lo", "hi"), "jaccard-round")
+            other = at.select("token", F.col("x").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+            pairs, lists = at.join(other, "token").where((F.col("x.u") < F.col("y.u")) & apart & _may_link("x", "y")), None
+        pairs = pairs.select(F.least("x.u", "y.u").alias("p"), F.greatest("x.u", "y.u").alias("q")).distinct()
+        pairs = pairs.join(left, "p").join(right, "q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        linked = written(_verified(pairs, texts), "jaccard-links")
         links = linked if links is None else links.unionByName(linked)
-        label = components(links, "a", "b")
-        if not lists_left(lists, own):
+        if linked.take(1) or label is None:
+            label = components(links, "a", "b")
+        if lists is None or not lists.take(1):
             break
     of = nodes.join(label, F.col("rep") == F.col("id"), "left").select("n", "c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     rows = found.select("doc_id", "n", "c1", "c2")
@@ -202,11 +200,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return rows.where("n > 0 and doc_id is not null").join(of, ["n", "c1", "c2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
-def lists_left(*tables: DataFrame) -> bool:
-    """Whether any of the tables has a row."""
-    return any(t.take(1) for t in tables)
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, of each component only the document with the smallest id; of rows that share an id one."""
     found = written(jaccard_components(docs), "jaccard-components")
