@@ -175,10 +175,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if label is not None:  # a list is done when all in it is one component
             spans = member.join(label, F.col("rep") == F.col("id"), "left").select("u", F.coalesce("component", "rep").alias("lo"), F.coalesce("component", "rep").alias("hi"))
         spans = spans.groupBy("u").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        at = lists.join(spans, F.col("x.u") == F.col("u")).selectExpr("token", "x", "lo", "hi", f"min(lo) over ({token}) as low", f"max(hi) over ({token}) as high").where("low <> high")
+        # Of near copies the least edited one is in most lists; as a pivot it links most others at once.
+        spans = spans.join(lists.groupBy(F.col("x.u").alias("u")).agg(F.count("*").alias("listed")), "u")
+        at = lists.join(spans, F.col("x.u") == F.col("u")).selectExpr("token", "x", "lo", "hi", "listed", f"min(lo) over ({token}) as low", f"max(hi) over ({token}) as high").where("low <> high")
         apart = (F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
         if i < PIVOTS:
-            key = F.struct(F.xxhash64("x.u", F.lit(i)).alias("h"), "x", "lo", "hi")
+            key = F.struct((-F.col("listed")).alias("often"), F.xxhash64("x.u", F.lit(i)).alias("h"), "x", "lo", "hi")
             at = at.withColumn("key", key).selectExpr("token", "x", "lo", "hi", f"min(key) over ({token}) as pivot").where("pivot.x.u <> x.u")
             at = written(at.select("token", "x", "lo", "hi", F.col("pivot.x").alias("y"), F.col("pivot.lo").alias("lo2"), F.col("pivot.hi").alias("hi2")), "jaccard-round")
             pairs, lists = at.where(apart & _may_link("x", "y")), at.select("token", "x")
