@@ -72,4 +72,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+#: The smallest node that a node reaches over linked(a, b), from nodes(id).
+REACHED = """both_ways AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
+SQL: dict[str, str] = {
+    "op5_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s), linked AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 180 * count(*) >= 80 * (a.n + b.n)),
+nodes AS (SELECT doc_id AS id FROM s), {REACHED}
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, l.component_id FROM s JOIN least l ON l.id = s.doc_id""",
+    "op9_embeddings": f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+linked AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95), nodes AS (SELECT vec_id AS id FROM v), {REACHED}
+SELECT v.vec_id, (SELECT count(*) FROM both_ways e WHERE e.a = v.vec_id) AS n_links, l.component_id, v.vec_id = l.component_id AS kept FROM v JOIN least l ON l.id = v.vec_id""",
+}
