@@ -27,10 +27,10 @@ WORDS64 = BINS * BITS // 64
 RANGE, RANGES = 2048, 8192
 
 
-def _orders(seed: int = 97) -> list[int]:
-    """TRIES bins for each bin, drawn independently."""
+def _orders(seed: int = 97) -> list[tuple[int, int]]:
+    """Factor and offset of TRIES hashes modulo the prime 257; hash r of bin i is the r-th bin that i tries."""
     draw = random.Random(seed)
-    return [draw.randrange(BINS) for _ in range(BINS * TRIES)]
+    return [(draw.randrange(1, 257), draw.randrange(257)) for _ in range(TRIES)]
 
 
 def _fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -49,11 +49,11 @@ def _fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     run = lambda h, i: F.concat(F.array(h), F.array_repeat(none, F.coalesce(bin_of(F.get(F.col(s), i + 1)), F.lit(BINS)) - bin_of(h) - 1))
     lead = F.array(F.array_repeat(none, F.coalesce(bin_of(F.get(F.col(s), F.lit(0))), F.lit(BINS))))
     df = df.withColumn(b, F.flatten(F.concat(lead, F.transform(s, run))))
-    order = F.lit(_orders())
+    order = _orders()
 
     def filled(x: Column, i: Column) -> Column:
         ranked = F.array_min(F.transform(s, lambda h: F.struct(F.xxhash64(i, bin_of(h)).alias("h"), h.alias("v"))))["v"]
-        lent = F.coalesce(*[F.get(F.col(b), F.get(order, i * TRIES + r)) for r in range(TRIES)], ranked)
+        lent = F.coalesce(*[F.get(F.col(b), (i * f + o) % 257 % BINS) for f, o in order], ranked)
         # What is borrowed is hashed with the bin's number, or a text of few shingles would repeat a few bits.
         return F.when(x.isNotNull(), low(x)).otherwise(low(F.xxhash64(lent, i)))
 
