@@ -38,12 +38,12 @@ def _fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     w, s, b = f"{out}_w", f"{out}_s", f"{out}_b"
     df = df.withColumn(w, F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x)))
     n = F.size(w)
-    fives = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(5)]))
+    fives = F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice(F.col(w), i, F.lit(5))))
     shingles = F.when(n >= 5, fives).when(n > 0, F.array(F.xxhash64(F.col(w)))).otherwise(F.array().cast("array<bigint>"))
     # Sorted, each bin is one run that its least hash begins.
     bin_of = lambda h: (F.shiftright(h, 56) + 128).cast("int")
     df = df.withColumn(s, F.sort_array(shingles))
-    df = df.withColumn(s, F.filter(s, lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(F.col(s), i - 1)))))
+    df = df.withColumn(s, F.filter(s, lambda h, i: (i == 0) | (F.shiftrightunsigned(h.bitwiseXOR(F.get(F.col(s), i - 1)), 56) != 0)))
     low = lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1).cast("bigint"))
     none = F.lit(None).cast("bigint")
     run = lambda h, i: F.concat(F.array(h), F.array_repeat(none, F.coalesce(bin_of(F.get(F.col(s), i + 1)), F.lit(BINS)) - bin_of(h) - 1))
