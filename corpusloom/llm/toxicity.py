@@ -218,97 +218,6 @@ def fit_on(docs: DataFrame, labels: DataFrame, bound: int = 4000, folds: int = 5
     return lexicon
 
 
-def score(self, text: str | None) -> float:
-        a, b, c = self.coefficients
-        x, y = self.features(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
-
-
-def _forms(w: str, least: int = 4, most: int = 12) -> list[str]:
-    """The terms that a word holds: its stems, and itself as a whole."""
-    return [f" {w} ", *(" " + w[:k] for k in range(least, min(len(w), most) + 1))]
-
-
-def _stems(text: str) -> set[str]:
-    return {s for w in set(fold(text).split()) for s in _forms(w)}
-
-
-def fit(toxic: list[str], clean: list[str], min_log_odds: float = 3.0, max_terms: int = 5000) -> Lexicon:
-    """Weights from labelled texts: a stem's smoothed log odds, if it is in at least 1 % (and 3) of the toxic texts.
-
-    It must also follow as many different words, or it marks copies of one text. A longer stem is dropped where a
-    shorter one of the same words is as good. Texts that repeat count once.
-    """
-    toxic, clean = sorted(set(filter(None, toxic))), sorted(set(filter(None, clean)))
-    base = {f" {t}": 3.0 for t in BASE_TERMS}
-    if not toxic or not clean:
-        return Lexicon(base)
-    support = max(3, math.ceil(0.01 * len(toxic)))
-    n_toxic = Counter(s for t in toxic for s in _stems(t))
-    before: dict[str, set[str]] = {s: set() for s, n in n_toxic.items() if n >= support}
-    for t in toxic:
-        words = fold(t).split()
-        for last, w in zip(["", *words], words, strict=False):
-            for s in _forms(w):
-                if s in before:
-                    before[s].add(last)
-    wanted = {s: n_toxic[s] for s, found in before.items() if len(found) >= max(support, 0.3 * n_toxic[s])}
-    n_clean = Counter(s for t in clean for s in _stems(t) & wanted.keys())
-    odds = {s: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((n_clean[s] + 0.5) / (len(clean) + 1)) for s, n in wanted.items()}
-    kept: dict[str, float] = {}
-    for s in sorted(odds, key=lambda s: (len(s), s)):
-        if odds[s] >= min_log_odds and not any(s[:k] in kept and kept[s[:k]] >= odds[s] - 1 for k in range(4, len(s))):
-            kept[s] = odds[s]
-    kept = dict(sorted(kept.items(), key=lambda x: (-wanted[x[0]], x[0]))[:max_terms])
-    for t, w in base.items():
-        if not any(t[:k] in kept for k in range(2, len(t) + 1)) and (n_toxic[t] or not any(t in _stems(c) for c in clean[:200])):
-            kept[t] = w
-    lexicon = Lexicon(kept)
-    x = np.array([[1.0, *lexicon.features(t)] for t in toxic + clean])
-    y = np.repeat([1.0, 0.0], [len(toxic), len(clean)])
-    lexicon.coefficients = tuple(_logistic(x, y))
-    return lexicon
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.02, rounds: int = 60) -> list[float]:
-    """Newton's method with a ridge; slopes stay at 0 or more, so more hits never lower a score."""
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-6] + [l2] * (x.shape[1] - 1)) * max(1.0, len(y) / 100)
-    free = np.ones(x.shape[1], bool)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge @ w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w))
-        step = np.zeros(len(w))
-        step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
-        w -= np.clip(step, -2, 2)
-        if (w[1:] < 0).any():
-            free[1:] &= w[1:] >= 0
-            w[1:] = np.maximum(w[1:], 0)
-        if np.abs(step).max() < 1e-8:
-            break
-    return [float(v) for v in w]
-
-
-def fit_on(docs: DataFrame, labels: DataFrame, bound: int = 2000, folds: int = 5) -> Lexicon:
-    """Fit on at most `bound` toxic and `bound` clean labelled documents outside fold 0 of `folds`.
-
-    They are those with the smallest hash of the id, whatever their number; their ids, then their texts, come to the driver.
-    """
-    of = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (id_fold("doc_id", folds) != 0))
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-        .withColumn("h", F.xxhash64("doc_id", F.lit("toxicity")))
-    )
-    ids = [r for k in (0, 1) for r in of.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(bound).select("doc_id", "toxic").collect()]
-    if not ids:
-        return fit([], [])
-    chosen = docs.sparkSession.createDataFrame(ids, of.select("doc_id", "toxic").schema)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").collect()
-    return fit([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
-
-
 def score(lexicon: Lexicon, column: str = "text") -> Column:
     """The score of a text column, 0 to 1."""
 

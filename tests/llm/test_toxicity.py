@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -81,3 +82,21 @@ def test_held_out_accuracy_on_the_tables(spark):
 @pytest.mark.parametrize("text", ["", None, "   ", "\x00😀".encode("utf-8", "surrogatepass").decode("utf-8", "replace")])
 def test_features_of_odd_texts(text):
     assert T.Lexicon({" bad": 1.0}).features(text) == (0.0, 0.0)
+
+
+def test_intercept_is_right_when_toxic_labels_exceed_the_bound(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    fits, fit = [], T.fit
+
+    def seen(toxic, clean):
+        lexicon = fit(toxic, clean)
+        fits.append((len(toxic), len(clean), lexicon.coefficients[0]))
+        return lexicon
+
+    monkeypatch.setattr(T, "fit", seen)
+    got = T.fit_on(docs, labels, 40)
+    n, m, intercept = fits[0]
+    assert (n, m) == (10, 30)
+    train = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    toxic, clean = (train.where(F.col("toxic") == k).count() for k in (1, 0))
+    assert toxic > 10 and abs(got.coefficients[0] - intercept - math.log(toxic / n) + math.log(clean / m)) < 1e-9
