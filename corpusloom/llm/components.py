@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import dropped, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,5 +35,6 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         if last is not None and tuple(seen) == last:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         last = tuple(seen)
-        edges = written(_star(_star(edges, large=True), large=False), "components")
+        before, edges = edges, written(_star(_star(edges, large=True), large=False), "components")
+        dropped(before)
     raise RuntimeError("components did not settle")

@@ -75,3 +75,28 @@ def test_components_of_a_path(spark, n):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(99, 99), (None, 1), (70, 71), (70, 71)], "a long, b long")
     got = {r.id: r.component for r in components(edges, "a", "b").collect()}
     assert got == {i: 0 for i in range(n + 1)} | {70: 70, 71: 70}
+
+
+def test_one_id_on_two_texts_is_a_class_each(spark):
+    rows = [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (2, "P q r s t u v w"), (3, "x y")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 1, 3)]
+
+
+def test_string_ids_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 50)
+    monkeypatch.setattr(jaccard, "OWNERS", 3)
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        t = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 90))]
+        rows += [(f"d{3 * i}", " ".join(t)), (f"d{3 * i + 1}", " ".join(t[1:])), (f"d{3 * i + 2}", " ".join(t[:-1] + ["end"]))]
+    agree(spark.createDataFrame(rows, "doc_id string, text string"))
+
+
+def test_classes_set_aside_link_with_nothing(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    packed = jaccard.packed_sets(docs, 16)
+    left = {r.n for r in jaccard.not_apart(packed).collect()}
+    total = packed.where("chunk is null and n > 0").select("c1").distinct().count()
+    assert 0 < len(left) < total
