@@ -20,10 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_fold, small_batches, text_of
+from corpusloom.llm.common import dropped, id_fold, small_batches, text_of, written
 
 # Insults that are terms whatever the labels say, phrases in which a term is harmless.
 BASE_TERMS = ("idiot", "moron", "stupid", "pathetic", "worthless", "scum", "loser", "disgusting", "imbecile")
@@ -135,40 +136,66 @@ def _stems(text: str) -> set[str]:
     return {s for w in set(fold(text).split()) for s in _forms(w)}
 
 
-def fit(toxic: list[str], clean: list[str], min_log_odds: float = 3.0, max_terms: int = 5000) -> Lexicon:
-    """Weights from labelled texts: a stem's smoothed log odds, if it is in at least 1 % (and 3) of the toxic texts.
+def _toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, last (a word that it follows), n (texts with the term, on one of its rows) of a task's texts."""
+    texts: Counter[str] = Counter()
+    after: dict[str, set[str]] = {}
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            words = fold(t).split()
+            texts.update({s for w in set(words) for s in _forms(w)})
+            for last, w in zip(["", *words], words, strict=False):
+                for s in _forms(w):
+                    after.setdefault(s, set()).add(last)
+    for s, found in after.items():
+        yield pa.RecordBatch.from_arrays([pa.array([s] * len(found)), pa.array(sorted(found)), pa.array([texts[s]] + [0] * (len(found) - 1), pa.int64())], names=["term", "last", "n"])
+
+
+def fit(rows: DataFrame, min_log_odds: float = 3.0) -> Lexicon:
+    """Weights from text, toxic (distinct, no empty text): a stem's smoothed log odds, if it is in at least 1 % (and 3) of the toxic texts.
 
     It must also follow as many different words, or it marks copies of one text. A longer stem is dropped where a
-    shorter one of the same words is as good. Texts that repeat count once.
+    shorter one of the same words is as good. A fixed term stays unless a larger share of clean texts holds it. Texts
+    stay in their tasks: terms that reach the support, at most some hundred times those of a text, and two features of
+    each row come to the driver.
     """
-    toxic, clean = sorted(set(filter(None, toxic))), sorted(set(filter(None, clean)))
+    rows = written(rows, "toxicity-rows")
+    size = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     base = {f" {t}": 3.0 for t in BASE_TERMS}
-    if not toxic or not clean:
+    if not size.get(1) or not size.get(0):
         return Lexicon(base)
-    support = max(3, math.ceil(0.01 * len(toxic)))
-    n_toxic = Counter(s for t in toxic for s in _stems(t))
-    before: dict[str, set[str]] = {s: set() for s, n in n_toxic.items() if n >= support}
-    for t in toxic:
-        words = fold(t).split()
-        for last, w in zip(["", *words], words, strict=False):
-            for s in _forms(w):
-                if s in before:
-                    before[s].add(last)
-    wanted = {s: n_toxic[s] for s, found in before.items() if len(found) >= max(support, 0.3 * n_toxic[s])}
-    n_clean = Counter(s for t in clean for s in _stems(t) & wanted.keys())
-    odds = {s: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((n_clean[s] + 0.5) / (len(clean) + 1)) for s, n in wanted.items()}
+    support = max(3, math.ceil(0.01 * size[1]))
+    toxic, clean = (rows.where(F.col("toxic") == k).select("text") for k in (1, 0))
+    found = toxic.mapInArrow(_toxic_terms, "term string, last string, n long").groupBy("term", "last").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("before"))
+    enough = (F.col("n") >= support) & (F.col("before") >= F.greatest(F.lit(float(support)), 0.3 * F.col("n")))
+    found = {r.term: r for r in found.where(enough | F.col("term").isin(list(base))).collect()}
+    wanted = {t: r.n for t, r in found.items() if r.n >= support and r.before >= max(support, 0.3 * r.n)}
+    asked = wanted.keys() | base.keys()
+
+    def clean_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter(s for batch in batches for t in batch.column(0).to_pylist() for s in _stems(t) & asked)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
+
+    n_clean = Counter({r.term: r.n for r in clean.mapInArrow(clean_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()})
+    odds = {s: math.log((n + 0.5) / (size[1] + 1)) - math.log((n_clean[s] + 0.5) / (size[0] + 1)) for s, n in wanted.items()}
     kept: dict[str, float] = {}
     for s in sorted(odds, key=lambda s: (len(s), s)):
         if odds[s] >= min_log_odds and not any(s[:k] in kept and kept[s[:k]] >= odds[s] - 1 for k in range(4, len(s))):
             kept[s] = odds[s]
-    kept = dict(sorted(kept.items(), key=lambda x: (-wanted[x[0]], x[0]))[:max_terms])
     for t, w in base.items():
-        if not any(t[:k] in kept for k in range(2, len(t) + 1)) and (n_toxic[t] or not any(t in _stems(c) for c in clean[:200])):
+        n = found[t].n if t in found else 0
+        if not any(t[:k] in kept for k in range(2, len(t) + 1)) and n * size[0] >= n_clean[t] * size[1]:
             kept[t] = w
     lexicon = Lexicon(kept)
-    x = np.array([[1.0, *lexicon.features(t)] for t in toxic + clean])
-    y = np.repeat([1.0, 0.0], [len(toxic), len(clean)])
-    lexicon.coefficients = tuple(_logistic(x, y))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [lexicon.features(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), batch.column(1)], names=["x", "y", "toxic"])
+
+    points = np.array(sorted(map(tuple, rows.select("text", "toxic").mapInArrow(features, "x double, y double, toxic int").collect())))
+    lexicon.coefficients = tuple(_logistic(np.column_stack([np.ones(len(points)), points[:, :2]]), points[:, 2]))
+    dropped(rows)
     return lexicon
 
 
@@ -195,22 +222,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.02, rounds: int = 60)
 def fit_on(docs: DataFrame, labels: DataFrame, bound: int = 4000, folds: int = 5) -> Lexicon:
     """Fit on at most `bound` labelled documents outside fold 0 of `folds`, up to a quarter of them toxic, the rest clean.
 
-    They are those with the smallest hash of the id, whatever their number; their ids, then their texts, come to the
-    driver. The intercept is set right for the share of toxic ones among all labelled rows.
+    They are those with the smallest hash of the id, whatever their number; their ids come to the driver. The intercept
+    is set right for the share of toxic ones among all labelled rows. A document with both labels is toxic.
     """
     of = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (id_fold("doc_id", folds) != 0))
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max("toxic").cast("int").alias("toxic"))
         .withColumn("h", F.xxhash64("doc_id", F.lit("toxicity")))
     )
     total = {r.toxic: r["count"] for r in of.groupBy("toxic").count().collect()}
     ids = [r for k, n in ((0, bound - bound // 4), (1, bound // 4)) for r in of.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(n).select("doc_id", "toxic").collect()]
     if not ids:
-        return fit([], [])
+        return Lexicon({f" {t}": 3.0 for t in BASE_TERMS})
     chosen = docs.sparkSession.createDataFrame(ids, of.select("doc_id", "toxic").schema)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").collect()
-    lexicon = fit([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
+    rows = docs.select("doc_id", text_of().alias("text")).where("text <> ''").join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct()
+    lexicon = fit(rows)
     drawn = Counter(r.toxic for r in ids)
     if drawn[0] and drawn[1]:
         a, b, c = lexicon.coefficients

@@ -88,9 +88,9 @@ def test_intercept_is_right_when_toxic_labels_exceed_the_bound(spark, monkeypatc
     docs, labels = corpus(spark)
     fits, fit = [], T.fit
 
-    def seen(toxic, clean):
-        lexicon = fit(toxic, clean)
-        fits.append((len(toxic), len(clean), lexicon.coefficients[0]))
+    def seen(rows):
+        lexicon = fit(rows)
+        fits.append((*(rows.where(F.col("toxic") == k).count() for k in (1, 0)), lexicon.coefficients[0]))
         return lexicon
 
     monkeypatch.setattr(T, "fit", seen)
@@ -100,3 +100,24 @@ def test_intercept_is_right_when_toxic_labels_exceed_the_bound(spark, monkeypatc
     train = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     toxic, clean = (train.where(F.col("toxic") == k).count() for k in (1, 0))
     assert toxic > 10 and abs(got.coefficients[0] - intercept - math.log(toxic / n) + math.log(clean / m)) < 1e-9
+
+
+def test_features_agree_with_a_plain_search():
+    rng = random.Random(9)
+    lexicon = T.Lexicon({" bad": 2.0, " badly ": 5.0, " worse": 1.5, " trash": 4.0})
+    words = ["bad", "badly", "badge", "worse", "trash", "can", "b4d", "fine", "Trash", "sand", "unbad"]
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(12)))
+        folded, total = T.fold(text), 0.0
+        safe = [range(i, i + len(p) + 1) for p in T.EXCEPTIONS for i in range(len(folded)) if folded.startswith(f" {p} ", i)]
+        for i in range(len(folded)):
+            best = max((w for t, w in lexicon.weights.items() if folded.startswith(t, i)), default=0.0)
+            total += best if not any(i in r for r in safe) else 0.0
+        want = (math.log1p(total), total / math.sqrt(1 + folded.count(" "))) if text else (0.0, 0.0)
+        assert lexicon.features(text) == pytest.approx(want)
+
+
+def test_a_fixed_term_goes_where_clean_texts_hold_it_more(spark):
+    rows = [(f"you are stupid {i}", 1) for i in range(20)] + [(f"the scum of iron {i}", 0) for i in range(20)] + [(f"plain {i}", 0) for i in range(20)]
+    weights = T.fit(spark.createDataFrame(rows, "text string, toxic int")).weights
+    assert " scum" not in weights and " moron" in weights and any(t.startswith(" stup") for t in weights)
