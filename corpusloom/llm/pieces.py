@@ -1,15 +1,17 @@
 """SentencePiece encoding with seeded merge dropout, and decoding without loss.
 
 Merges work through an agenda, best score first, leftmost among equals. A candidate merge is skipped if a keyed hash
-of the seed, the document, its place in the word and the merged piece falls under the dropout rate, so each seed and
-document gets a segmentation of its own and every run repeats it. Rate 0 is the tokenizer's plain encoding.
+of the seed, the document, the word's place in it, the merge's place in the word and the merged piece falls under the
+dropout rate, so each seed, document and occurrence of a word gets a segmentation of its own and every run repeats it.
+Rate 0 is the tokenizer's plain encoding.
 
 No piece goes on past a word with the space of the next, so words are encoded apart: short ones all at once in
 arrays, long ones through a heap. Characters outside the vocabulary become bytes; so does U+2581, the mark that stands
 for a space, which the plain tokenizer would give back as a space.
 
-Defined cases: null counts as empty, and an empty text has no pieces; equal texts with equal ids get equal pieces;
-extra columns are ignored.
+Defined cases: null counts as empty, and an empty text has no pieces; rows with one id that follow each other, as
+copies do, are numbered and each segmented in its own way; others with equal texts and ids get equal pieces; a null id
+is one like any other; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -213,18 +214,28 @@ class Coder:
         short, owner, longs, plans = [], [], [], []
         for text, key in zip(texts, keys, strict=True):
             units = UNIT.findall(SPACE + text.replace(SPACE, OWN_MARK).replace(" ", SPACE)) if text else []
+            own = mixed(np.arange(len(units), dtype=np.uint64) + np.uint64(key), 9)
+            if rate and max(map(len, units), default=0) <= LONG:
+                plans.append(np.arange(len(short), len(short) + len(units)))
+                short += units
+                owner.append(own)
+                continue
+            # Without dropout all occurrences of a word are alike.
             seen: dict[str, int] = {}
-            for u in units:
-                if u not in seen:
-                    if len(u) > LONG:
-                        seen[u] = -1 - len(longs)
-                        longs.append(self.long(u, key, rate))
-                    else:
-                        seen[u] = len(short)
-                        short.append(u)
-                        owner.append(key)
-            plans.append(np.array([seen[u] for u in units], np.int64))
-        pool, first, count = self.short(short, np.array(owner, np.uint64), rate) if short else (np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
+            plan = np.empty(len(units), np.int64)
+            for i, u in enumerate(units):
+                if not rate and u in seen:
+                    plan[i] = seen[u]
+                elif len(u) > LONG:
+                    plan[i] = seen[u] = -1 - len(longs)
+                    longs.append(self.long(u, int(own[i]), rate))
+                else:
+                    plan[i] = seen[u] = len(short)
+                    short.append(u)
+                    owner.append(own[i : i + 1])
+            plans.append(plan)
+        none = np.empty(0, np.int64)
+        pool, first, count = self.short(short, np.concatenate(owner), rate) if short else (np.empty(0, np.int32), none, none)
         # The long words' ids stand behind the others, in reverse so that -1 is the first of them.
         n = [len(x) for x in reversed(longs)]
         first = np.concatenate([first, len(pool) + np.cumsum([0, *n])[:-1]]).astype(np.int64)
@@ -244,18 +255,21 @@ class Coder:
         return text[1:] if text.startswith(" ") else text
 
 
-def key_of(doc_id: object, seed: int) -> int:
-    return (seed * 0x9E3779B97F4A7C15 + zlib.crc32(str(doc_id).encode()) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
+def key_of(doc_id: object, seed: int, copy: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{seed}:{copy}:{doc_id}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
 def _coded(docs: DataFrame, shape: T.StructType, path: str, rate: float, seed: int, digest: bool) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(model.value)
+        coder, last, copy = Coder(model.value), object(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = coder.encode(texts, [key_of(d, seed) for d in batch.column(0).to_pylist()], rate)
+            texts, keys = batch.column(1).to_pylist(), []
+            for d in batch.column(0).to_pylist():
+                last, copy = d, copy + 1 if d == last else 0
+                keys.append(key_of(d, seed, copy))
+            ids = coder.encode(texts, keys, rate)
             arrays = [batch.column(0), pa.array([len(x) for x in ids], pa.int64())]
             if digest:
                 back = [coder.decode(x) for x in ids]

@@ -1,3 +1,4 @@
+import numpy as np
 import sentencepiece
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -29,7 +30,18 @@ def test_dropout_is_lossless_repeatable_and_varied(spark):
     # the arrays and the heap make the same merges
     for t, key, want in zip(some[::9], [pieces.key_of(i, 1) for i in range(len(some))][::9], a[::9], strict=True):
         units = pieces.UNIT.findall(pieces.SPACE + t.replace(pieces.SPACE, pieces.OWN_MARK).replace(" ", pieces.SPACE)) if t else []
-        assert [i for u in units for i in coder.long(u, key, 0.1)] == want.tolist()
+        own = pieces.mixed(np.arange(len(units), dtype=np.uint64) + np.uint64(key), 9).tolist()
+        assert [i for u, k in zip(units, own, strict=True) for i in coder.long(u, k, 0.1)] == want.tolist()
+
+
+def test_each_occurrence_and_each_copy_is_segmented_in_its_own_way(spark):
+    coder = pieces.Coder(pieces.read_model())
+    (ids,) = coder.encode(["internationalization " * 200], [5], 0.3)
+    lengths = {len(x) for x in coder.encode(["internationalization"] * 50, list(range(50)), 0.3)}
+    assert len(lengths) > 1 and len(ids) % 200  # equal segmentations would make a multiple
+    docs = spark.createDataFrame([(7, "some words that are segmented " * 5)] * 2, "doc_id long, text string").coalesce(1)
+    found = pieces.encoded(docs, rate=0.3).collect()
+    assert found[0].pieces != found[1].pieces and {r.text for r in pieces.decoded(pieces.encoded(docs, rate=0.3)).collect()} == {docs.first().text}
 
 
 def test_operators(spark):
