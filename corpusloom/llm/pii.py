@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_of, written
+from corpusloom.llm.common import WORD, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns. They differ from its text in form only: starts inside a run that cannot match are skipped
@@ -25,8 +25,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Words with a digit or an at sign: what a pattern may discover.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Code points on either side that a context is taken from.
-REACH = 48
+#: Code points on either side that a context is taken from; hits that are placed at once; what stands for struck characters.
+REACH, RUN, STRUCK = 48, 128, "\x01"
 FOUND = "array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>"
 
 
@@ -54,26 +54,38 @@ def _digits(value: Column) -> Column:
     return F.length(F.regexp_replace(value, "[^0-9]", ""))
 
 
-def _located(text: Column, hits: Column, pattern: str, kind: str) -> Column:
-    """The hits with their places and surroundings: what lies between hits, from a split, tells where each begins."""
-    between = F.split(text, pattern, -1)
+def _pieces(text: Column, pattern: str) -> Column:
+    """What lies before, between and behind the hits."""
+    return F.split(text, pattern, -1)
+
+
+def _located(hits: Column, between: Column, kind: str) -> Column:
+    """The hits with their places and surroundings, both told by what lies between hits, so time is linear in the text."""
+    n = F.size(hits)
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
     def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(state["between"], i))
+        start = state["at"] + F.length(F.get(between, i))
         end = start + F.length(F.get(hits, i))
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), F.get(hits, i).alias("value"))).alias("out"), state["between"].alias("between"))
+        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
+
+    def some(state: Column, first: Column) -> Column:
+        # An array is copied for each item that is appended, so few are appended at once.
+        own = F.struct(state["at"].alias("at"), none.alias("out"))
+        return F.aggregate(F.sequence(first, F.least(first + RUN, n) - 1), own, step, lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], s["out"]).alias("out")))
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"), between.alias("between"))
-    placed = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, lambda s, i: step(s, i).cast("struct<at:bigint,out:array<struct<start:bigint,end:bigint,value:string>>,between:array<string>>"), lambda s: s["out"])
+    places = F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(RUN)), F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), some, lambda s: s["out"])
 
-    def around(h: Column) -> Column:
-        low = F.greatest(h["start"] - REACH, F.lit(0))
-        left = F.substring(text, (low + 1).cast("int"), (h["start"] - low).cast("int"))
-        right = F.substring(text, (h["end"] + 1).cast("int"), F.lit(REACH))
-        return F.struct(F.lit(kind).alias("kind"), h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value"), left.alias("left"), right.alias("right"))
+    def around(h: Column, i: Column) -> Column:
+        at = lambda array, j: F.coalesce(F.when(j >= 0, F.get(array, j)), F.lit(""))
+        before = F.concat(at(between, i - 2), at(hits, i - 2), at(between, i - 1), at(hits, i - 1), at(between, i))
+        after = F.concat(at(between, i + 1), at(hits, i + 1), at(between, i + 2), at(hits, i + 2), at(between, i + 3))
+        # Words that the ends of a context cut are left out.
+        left = F.when(F.length(before) > REACH, F.regexp_replace(F.substring(before, -REACH, REACH), f"^{WORD}", "")).otherwise(before)
+        right = F.when(F.length(after) > REACH, F.regexp_replace(F.substring(after, 1, REACH), f"{WORD}$", "")).otherwise(after)
+        return F.struct(F.lit(kind).alias("kind"), h["start"].alias("start"), h["end"].alias("end"), F.get(hits, i).alias("value"), left.alias("left"), right.alias("right"))
 
-    return F.when(F.size(hits) > 0, F.transform(placed, around)).otherwise(F.array()).cast(FOUND)
+    return F.when(n > 0, F.transform(places, around)).otherwise(F.array()).cast(FOUND)
 
 
 def _hits(text: Column, pattern: str, trigger: Column) -> Column:
@@ -88,23 +100,32 @@ def seeds(docs: DataFrame, candidates: bool = True) -> DataFrame:
     triggers = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), "phone": text.rlike(r"\+[0-9]")}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     tests = {
-        "email": lambda x: F.lit(True),
-        "ip": lambda x: _octets(x["value"]),
-        "card": lambda x: _luhn(x["value"]),
-        "phone": lambda x: _digits(x["value"]).between(10, 15),
+        "email": lambda value: F.lit(True),
+        "ip": _octets,
+        "card": _luhn,
+        "phone": lambda value: _digits(value).between(10, 15),
     }
     if candidates:
-        triggers["word"], patterns["word"], tests["word"] = digit | text.contains("@"), CANDIDATE, lambda x: F.length(x["value"]) <= 64
+        triggers["word"], patterns["word"] = digit | text.contains("@"), CANDIDATE
     df = df.withColumns({f"_h_{k}": _hits(text, patterns[k], triggers[k]) for k in patterns})
-    df = df.withColumns({f"_s_{k}": F.filter(_located(text, F.col(f"_h_{k}"), patterns[k], k), tests[k]) for k in patterns})
+    df = df.withColumns({f"_p_{k}": F.when(F.size(f"_h_{k}") > 0, _pieces(text, patterns[k])) for k in patterns})
+    df = df.withColumns({f"_s_{k}": _located(F.col(f"_h_{k}"), F.col(f"_p_{k}"), k) for k in patterns})
+    df = df.withColumns({f"_s_{k}": F.filter(f"_s_{k}", (lambda test: lambda x: test(x["value"]))(test)) for k, test in tests.items()})
     place = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     base = F.transform(F.array_sort(F.transform(F.concat(*[F.col(f"_s_{k}") for k in KINDS]), lambda x: F.struct(x["start"].alias("s"), place[x["kind"]].alias("p"), x.alias("x")))), lambda x: x["x"])
     out = [F.col("doc_id"), F.xxhash64("_text").alias("row"), base.cast(FOUND).alias("base")]
     if candidates:
-        # no seed covers a candidate
-        word = F.filter("_s_word", lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-        df = df.withColumn("_base", base.cast(FOUND))
-        out = [F.col("doc_id"), F.xxhash64("_text").alias("row"), F.col("_base").alias("base"), word.cast(FOUND).alias("word")]
+        # No seed covers a candidate: where seeds' digits and at signs are struck out, the same words in the same order show which do.
+        struck = {}
+        for k in KINDS:
+            hits, between = F.col(f"_h_{k}"), F.col(f"_p_{k}")
+            own = lambda x: F.translate(x, STRUCK, "\x02")
+            piece = lambda i: F.concat(own(F.get(between, i)), F.when(tests[k](F.get(hits, i)), F.regexp_replace(F.get(hits, i), "[0-9@]", STRUCK)).otherwise(own(F.get(hits, i))))
+            whole = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(hits) - 1), piece), ""), own(F.element_at(between, -1)))
+            struck[f"_c_{k}"] = F.when((F.size(f"_s_{k}") > 0) & (F.size("_h_word") > 0), F.transform(F.regexp_extract_all(whole, F.lit(CANDIDATE.replace("0-9@", f"0-9@{STRUCK}")), F.lit(0)), lambda w: w.contains(STRUCK)))
+        df = df.withColumns(struck)
+        word = F.filter("_s_word", lambda w, i: ~F.coalesce(F.greatest(*[F.coalesce(F.get(f"_c_{k}", i), F.lit(False)) for k in KINDS]), F.lit(False)))
+        out.append(word.cast(FOUND).alias("word"))
     return df.select(*out)
 
 
@@ -145,8 +166,10 @@ def discovered(found: DataFrame) -> DataFrame:
     # Distinct pairs, so a page that repeats counts once; then one row per pattern: nothing grows with a popular pattern.
     seeded = seed.distinct().groupBy("pattern", "kind").agg(F.count("*").alias("n_seed")).where(F.col("n_seed") >= SUPPORT)
     word = found.select("doc_id", "row", F.explode("word").alias("x"))
+    # A word without marks around it; without an at sign its longest run of identifier shape, however long the word is.
     trimmed = F.regexp_replace("x.value", r"^[^A-Za-z0-9+(@]+|[^A-Za-z0-9@]+$", "")
-    word = word.withColumn("v", trimmed).withColumn("shift", F.instr("x.value", F.col("v")) - 1).where("length(v) >= 5")
+    runs = F.transform(F.regexp_extract_all("x.value", F.lit(r"[+(]{0,2}[0-9][0-9().*x+-]*[0-9*x]|[+(]{0,2}[0-9]"), F.lit(0)), lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))
+    word = word.withColumn("v", F.when(F.col("x.value").contains("@"), trimmed).otherwise(F.coalesce(F.array_max(runs)["v"], F.lit("")))).withColumn("shift", F.instr("x.value", F.col("v")) - 1).where("length(v) >= 5")
     word = word.select("doc_id", "row", (F.col("x.start") + F.col("shift")).alias("start"), (F.col("x.start") + F.col("shift") + F.length("v")).alias("end"), F.xxhash64("v").alias("value"), F.explode(_shapes(F.col("v"))).alias("kind"), _contexts(F.col("x.left"), F.col("x.right")).alias("patterns"))
     places = word.select("doc_id", "row", "start", "end", "value", "kind", F.explode("patterns").alias("pattern")).join(seeded, ["pattern", "kind"])
     places = written(places, "pii-places")
