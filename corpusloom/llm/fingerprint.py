@@ -23,8 +23,9 @@ from corpusloom.llm.common import WORD, text_of
 #: Bins, bits kept of each; bins that an empty one tries in its own order before it ranks all filled ones.
 BINS, BITS, TRIES = 256, 4, 24
 WORDS64 = BINS * BITS // 64
-#: Documents of a range of ids, about; ranges at most (their bounds and first ids pass through the driver).
-RANGE, RANGES = 2048, 8192
+#: Documents of a range of ids, about; ranges at most (their bounds and first ids pass through the driver). Beyond 134
+#: million documents ranges grow; one of 100 TB in all is a sort of 1.5 GB, which spills where it must.
+RANGE, RANGES = 2048, 65_536
 
 
 def _orders(seed: int = 97) -> list[tuple[int, int]]:
@@ -38,7 +39,11 @@ def _fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     w, s, b = f"{out}_w", f"{out}_s", f"{out}_b"
     df = df.withColumn(w, F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x)))
     n = F.size(w)
-    fives = F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice(F.col(w), i, F.lit(5))))
+    # Five words' hash from a pair's, two pairs' and the fifth word's: each a pass over shifted arrays.
+    for name, one, two, step, width in ((f"{out}_2", w, w, 1, 2), (f"{out}_4", f"{out}_2", f"{out}_2", 2, 4), (f"{out}_5", f"{out}_4", w, 4, 5)):
+        both = F.zip_with(F.slice(one, F.lit(1), n - width + 1), F.slice(two, F.lit(step + 1), n - width + 1), lambda x, y: F.xxhash64(x, y))
+        df = df.withColumn(name, F.when(n >= 5, both))
+    fives = F.col(f"{out}_5")
     shingles = F.when(n >= 5, fives).when(n > 0, F.array(F.xxhash64(F.col(w)))).otherwise(F.array().cast("array<bigint>"))
     # Sorted, each bin is one run that its least hash begins.
     bin_of = lambda h: (F.shiftright(h, 56) + 128).cast("int")
@@ -60,7 +65,7 @@ def _fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(b, F.transform(b, filled))
     per = 64 // BITS
     pack = F.transform(F.sequence(F.lit(0), F.lit(WORDS64 - 1)), lambda k: F.aggregate(F.slice(F.col(b), k * per + 1, per), F.lit(0).cast("bigint"), lambda acc, v: F.shiftleft(acc, BITS).bitwiseOR(v)))
-    return df.withColumn(out, F.when(F.size(w) > 0, pack).otherwise(F.array().cast("array<bigint>"))).drop(w, s, b)
+    return df.withColumn(out, F.when(F.size(w) > 0, pack).otherwise(F.array().cast("array<bigint>"))).drop(w, s, b, f"{out}_2", f"{out}_4", f"{out}_5")
 
 
 def _hex(fingerprint: str) -> Column:
