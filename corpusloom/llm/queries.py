@@ -20,42 +20,52 @@ from corpusloom.llm.toxicity import toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts and digest of the base spans, all spans. A null text has none; each row of `documents` gives one row."""
     return personal_data(table(spark, sf_dir, "documents"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trips of every text through the 32k vocabulary with merge dropout 0.1: number and digest of its pieces, lossless or not. A null text is empty."""
     return round_trips(table(spark, sf_dir, "documents"))
 
 
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that two documents share, each link both ways, with its class. Rows without doc_id, null and short texts give none."""
     return shared_passages(table(spark, sf_dir, "documents"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and likenesses. A null text is empty; equal ids stand in the order of their texts."""
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles are alike by 0.8. Texts without words and rows without doc_id are alone."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, 150 % of all by weights 3, 1, 2 of the sources. A null source is the last one, a null text has size 0."""
     return mix(table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by best unigram segmentation, counted only. A null text has none."""
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every text: by unigram counts, and by mixed context predictions, learned from nine tenths of the documents. An empty text is its end alone."""
     return language_scores(table(spark, sf_dir, "documents"))
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with a cosine of 0.95 or more. Unusable vectors link with nothing; equal ones link with each other."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a lexicon learned outside fold 0 of five. A null text is empty; labels that are neither 0 nor 1 are left out."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
