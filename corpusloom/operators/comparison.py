@@ -18,11 +18,23 @@ def variation(vector: str) -> Column:
     return F.size(F.filter(v, lambda x: x != F.get(v, F.lit(0)))) / F.size(v)
 
 
-def nearest_frames(left: DataFrame, right: DataFrame, digits: int = 6) -> DataFrame:
-    """The pair of frames (id, frame) with the least mean absolute difference; meant for a few frames a side."""
+#: Frames or rules that may be broadcast.
+SENDABLE = 10_000
+
+
+def _sendable(df: DataFrame) -> DataFrame:
+    """df, which meets all rows of another table by no key, checked to be small."""
+    if (n := df.count()) > SENDABLE:
+        raise ValueError(f"{n} rows, {SENDABLE} at most, may meet a whole table")
+    return F.broadcast(df)
+
+
+def nearest_frames(left: DataFrame, right: DataFrame, digits: int = 6, ascending: bool = False) -> DataFrame:
+    """The pair of frames (id, frame) with the least mean absolute difference; SENDABLE frames on the right at most. ascending: only pairs whose left id is less."""
     r = right.select(F.col("id").alias("right_id"), F.col("frame").alias("other"))
     d = F.aggregate(F.zip_with("frame", "other", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: a + x) / F.size("frame")
-    pairs = left.select(F.col("id").alias("left_id"), "frame").crossJoin(r).select("left_id", "right_id", F.round(d, digits).alias("distance"))
+    on = (F.col("left_id") < F.col("right_id")) if ascending else F.lit(True)
+    pairs = left.select(F.col("id").alias("left_id"), "frame").join(_sendable(r), on).select("left_id", "right_id", F.round(d, digits).alias("distance"))
     return pairs.agg(F.min(F.struct("distance", "left_id", "right_id")).alias("m")).select("m.left_id", "m.right_id", "m.distance")
 
 
@@ -35,8 +47,8 @@ def geometry_failures(source: DataFrame, local: DataFrame, tolerance: float) ->
 
 
 def first_rule(requests: DataFrame, rules: DataFrame, default: int = 503) -> DataFrame:
-    """requests (id, path[, method]) with the status of the first rule (by ord) that matches exactly or by prefix; rules are few and broadcast."""
-    r = F.broadcast(rules.select("ord", "match", "prefix", "methods", F.col("status").alias("rule_status")))
+    """requests (id, path[, method]) with the status of the first rule (by ord) that matches exactly or by prefix; SENDABLE rules at most."""
+    r = _sendable(rules.select("ord", "match", "prefix", "methods", F.col("status").alias("rule_status")))
     hit = (F.col("path") == F.col("match")) | F.startswith(F.col("path"), F.col("prefix"))
     allowed = F.col("methods").isNull() | (F.size("methods") == 0) | F.array_contains("methods", F.col("method"))
     found = requests.join(r, hit & allowed, "left").groupBy("id", "path").agg(F.min_by("rule_status", "ord").alias("status"))

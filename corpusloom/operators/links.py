@@ -36,19 +36,33 @@ def page_of_route(pages: DataFrame) -> DataFrame:
     return pages.groupBy(route_key(F.col("url")).alias("route")).agg(F.min(rank)["page_id"].alias("page_id"), F.count("*").alias("candidates"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, distance of all nodes that edges (source, target) reach from starts (node); breadth first, lineage cut each round by the caller's checkpoint folder."""
+def _searched(edges: DataFrame, starts: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """node, distance of what `most` rounds reach, and whether more may be left. Lineage is cut each round where there is a checkpoint folder."""
+    keep = edges.sparkSession.sparkContext.getCheckpointDir() or edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if keep:
+        edges.sparkSession.sparkContext.setCheckpointDir(keep)
     seen = starts.select("node").distinct().withColumn("distance", F.lit(0))
     front = seen
-    for i in range(1, rounds + 1):
+    for i in range(1, most + 1):
         step = edges.join(front.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
         front = step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(i))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
+        if keep:
             front = front.checkpoint()
         if not front.take(1):
-            break
+            return seen, False
         seen = seen.unionByName(front)
-    return seen
+    return seen, True
+
+
+def reachable(edges: DataFrame, starts: DataFrame, rounds: int | None = None, limit: int = 10_000) -> DataFrame:
+    """node, distance of all nodes that edges (source, target) reach from starts (node), or that `rounds` steps reach; breadth first.
+
+    Without `rounds` it goes on until a step finds nothing new, and raises if `limit` steps are not enough.
+    """
+    found, more = _searched(edges, starts, limit if rounds is None else rounds)
+    if more and rounds is None:
+        raise RuntimeError(f"nodes are left after {limit} steps")
+    return found
 
 
 def discovered(edges: DataFrame, starts: DataFrame, rounds: int = 6) -> DataFrame:
@@ -59,3 +73,13 @@ def discovered(edges: DataFrame, starts: DataFrame, rounds: int = 6) -> DataFram
 def occurrences(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Add occurrence: how many rows of the same key stand before."""
     return df.withColumn("occurrence", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("bigint"))
+
+
+def unresolved(named: DataFrame, files: DataFrame) -> DataFrame:
+    """kind, path, blocking of named assets (kind, path) without a file (path): what only a script or a hint names is for diagnosis, the rest blocks."""
+    return named.join(files.select("path"), "path", "left_anti").select("kind", "path", (~F.col("kind").isin("runtime-sink", "hint")).alias("blocking"))
+
+
+def asset_gate(missing: DataFrame) -> DataFrame:
+    """blocking, diagnostic, passed: one row."""
+    return missing.agg(F.count_if("blocking").alias("blocking"), F.count_if(~F.col("blocking")).alias("diagnostic"), F.coalesce(F.bool_and(~F.col("blocking")), F.lit(True)).alias("passed"))

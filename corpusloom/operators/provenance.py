@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import normalized
 
-#: Phrases that may be broadcast; beyond that both sides meet in a shuffle.
+#: Phrases that may be broadcast; beyond that keys meet in a shuffle.
 SENDABLE = 100_000
 
 
@@ -20,18 +20,27 @@ def _grams(column: str) -> Column:
 def supported_pairs(phrases: DataFrame, documents: DataFrame) -> DataFrame:
     """item_id, doc_id where a document's normalized text contains the item's.
 
-    Containment is not an equality, so pairs are found by three inner words of the phrase, whole words of any text
-    that contains it, and verified. Phrases without three inner words meet every document; they are rare and short.
+    Containment is not an equality, so pairs are found by inner words of the phrase, whole words of any text that
+    contains it: three of them, or one where the phrase has but three or four words. Only texts of documents that such a
+    key names move, to be verified. Phrases of one or two words have no inner word; they meet every document, in its
+    own task, and may be SENDABLE at most.
     """
     p = phrases.select("item_id", normalized(F.col("text")).alias("phrase")).where("phrase <> ''").withColumn("w", F.split("phrase", " "))
     d = documents.select("doc_id", normalized(F.col("text")).alias("body"))
-    keyed = p.where("size(w) >= 5").select("item_id", "phrase", F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3))).alias("gram"))
-    few = keyed.count() <= SENDABLE
-    grams = d.withColumn("words", F.split("body", " ")).select("doc_id", F.explode(_grams("words")).alias("gram"))
-    maybe = grams.join(F.broadcast(keyed.select("item_id", "gram")) if few else keyed.select("item_id", "gram"), "gram").select("item_id", "doc_id").distinct()
-    found = maybe.join(keyed.select("item_id", "phrase"), "item_id").join(d, "doc_id").where("contains(body, phrase)").select("item_id", "doc_id")
-    short = p.where("size(w) < 5").select("item_id", "phrase")
-    loose = d.join(F.broadcast(short) if few else short, F.expr("contains(body, phrase)")).select("item_id", "doc_id")
+    three = F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3)))
+    keyed = p.where("size(w) >= 3").select("item_id", "phrase", F.when(F.size("w") >= 5, three).otherwise(F.get("w", F.lit(1))).alias("gram"))
+    sizes = p.agg(F.count_if(F.size("w") >= 3).alias("keyed"), F.count_if(F.size("w").between(3, 4)).alias("single"), F.count_if(F.size("w") < 3).alias("short")).first()
+    grams = F.array_union(_grams("words"), F.array_distinct("words")) if sizes.single else _grams("words")
+    keys = keyed.select("item_id", "gram")
+    named = d.select("doc_id", F.split("body", " ").alias("words")).select("doc_id", F.explode(grams).alias("gram"))
+    maybe = named.join(F.broadcast(keys) if sizes.keyed <= SENDABLE else keys, "gram").select("item_id", "doc_id").distinct()
+    texts = d.join(maybe.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = maybe.join(keyed.select("item_id", "phrase"), "item_id").join(texts, "doc_id").where("contains(body, phrase)").select("item_id", "doc_id")
+    if not sizes.short:
+        return found.distinct()
+    if sizes.short > SENDABLE:
+        raise ValueError(f"{sizes.short} phrases of one or two words, {SENDABLE} at most")
+    loose = d.join(F.broadcast(p.where("size(w) < 3").select("item_id", "phrase")), F.expr("contains(body, phrase)")).select("item_id", "doc_id")
     return found.unionByName(loose).distinct()
 
 

@@ -136,7 +136,8 @@ AND NOT regexp_matches(t, '^(?i:application|text|image|audio|video)/') AND NOT r
 @query(FACING)
 def user_facing_lines(spark, sf_dir):
     """How many lines of each document read like text for people."""
-    return lines(spark, sf_dir).where(X.user_facing(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    shown = F.size(F.filter(F.split("text", "\n"), X.user_facing))
+    return table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.sum(shown).cast("long").alias("n")).where("n > 0")
 
 
 CONVERGE = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run,
@@ -171,10 +172,7 @@ def closest_pair(spark, sf_dir):
     """The two mean frames that are nearest (labels for capture sequences; as many frames as labels)."""
     mean = comparison.vector_mean(table(spark, sf_dir, "embeddings"), "label", "embedding")
     frames = mean.groupBy(F.col("label").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("f")).select("id", F.transform("f", lambda x: x["mean"]).alias("frame"))
-    r = frames.select(F.col("id").alias("right_id"), F.col("frame").alias("other"))
-    d = F.aggregate(F.zip_with("frame", "other", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: a + x) / F.size("frame")
-    pairs = frames.join(F.broadcast(r), F.col("id") < F.col("right_id")).select(F.col("id").alias("left_id"), "right_id", F.round(d, 6).alias("distance"))
-    return pairs.agg(F.min(F.struct("distance", "left_id", "right_id")).alias("m")).select("m.left_id", "m.right_id", "m.distance")
+    return comparison.nearest_frames(frames, frames, ascending=True)
 
 
 @query("""WITH b AS (SELECT vec_id, list_transform(embedding[1:4], lambda v: v::DOUBLE) AS r FROM embeddings), j AS (SELECT a.vec_id, a.r, l.r AS o FROM b a LEFT JOIN b l ON l.vec_id = a.vec_id + 1)
@@ -249,7 +247,7 @@ def interaction_families(spark, sf_dir):
 @query("SELECT conv_id, max(turn) AS turn, arg_max(role, struct_pack(t := turn, r := role)) AS role FROM conversations GROUP BY conv_id")
 def deepest_newest(spark, sf_dir):
     """The role at the deepest turn of each conversation (turns for depth of a report)."""
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", F.struct("turn", "role")).alias("role"))
+    return sequences.latest(table(spark, sf_dir, "conversations").withColumn("r", F.col("role")), "conv_id", ["turn", "r"], "role").select("conv_id", "turn", "role")
 
 
 AUTH = f"CASE WHEN contains(text, 'token = ') THEN 'restricted' WHEN regexp_matches(text, '{LICENSE}') THEN 'covered' ELSE 'unverified' END"

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import comparison, inventory, links, provenance, sequences
+from corpusloom.functions import text as X
+from corpusloom.operators import comparison, inventory, links, lookups, provenance, sequences
 from corpusloom.sources import tables
 from corpusloom.streaming import trace
 
@@ -114,3 +115,48 @@ def test_trace_appends_once(spark, tmp_path):
         (tmp_path / f"in/{i}.json").write_text(f'{{"stage":"s{i}"}}\n')
         trace.append(trace.follow(spark, str(tmp_path / "in"), "stage string"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("s0",), ("s1",)]
+
+
+def test_reachable_goes_on_until_nothing_is_new(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "source int, target int")
+    start = spark.createDataFrame([(0,)], "node int")
+    assert rows(links.reachable(edges, start)) == [(i, i) for i in range(6)]
+    assert rows(links.discovered(edges, start, 2)) == [(0, 0), (1, 1), (2, 2)]
+    with pytest.raises(RuntimeError):
+        links.reachable(edges, start, limit=3)
+
+
+def test_unknown_keys_are_an_error(spark):
+    known = spark.createDataFrame([("a", 1)], "key string, rank int")
+    assert rows(lookups.joined_known(spark.createDataFrame([("a",)], "key string"), known, "key")) == [("a", 1)]
+    with pytest.raises(ValueError, match="unknown key: b"):
+        lookups.joined_known(spark.createDataFrame([("a",), ("b",)], "key string"), known, "key")
+
+
+def test_rules_and_frames_must_be_few(spark, monkeypatch):
+    monkeypatch.setattr(comparison, "SENDABLE", 1)
+    frames = spark.createDataFrame([(1, [1.0]), (2, [3.0])], "id int, frame array<double>")
+    with pytest.raises(ValueError):
+        comparison.nearest_frames(frames, frames)
+
+
+def test_containment_agrees_with_a_plain_search(spark):
+    texts = [(1, "One two  three four five six"), (2, "a b c"), (3, "xa b cy"), (4, "nothing here"), (5, None), (6, "one two")]
+    phrases = [(10, "two three four five six"), (11, "a b c"), (12, "One"), (13, ""), (14, "b"), (15, "two three four"), (16, "wo three fou"), (17, None)]
+    got = rows(provenance.supported_pairs(spark.createDataFrame(phrases, "item_id int, text string"), spark.createDataFrame(texts, "doc_id int, text string")))
+    plain = lambda t: " ".join((t or "").lower().split())
+    assert got == sorted((i, d) for i, p in phrases for d, t in texts if plain(p) and t is not None and plain(p) in plain(t))
+
+
+def test_captures_and_reports(spark, tmp_path):
+    files = spark.createDataFrame([("a.html",), ("hts-cache/x",), ("hts-log.txt",), ("b/.DS_Store",)], "path string")
+    assert rows(tables.captured(files)) == [("a.html",)]
+    tables.write_report(files, str(tmp_path / "report"))
+    tables.write_report(files.limit(1), str(tmp_path / "report"))
+    assert rows(spark.read.schema("path string").json(str(tmp_path / "report"))) == [("a.html",)]
+
+
+def test_many_matches_keep_their_places(spark):
+    text = "ab-" * 1000
+    got = spark.createDataFrame([(text,)], "t string").select(X.placed(F.col("t"), "b").alias("p")).first().p
+    assert [r.start for r in got] == list(range(1, 3000, 3))

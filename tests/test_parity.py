@@ -6,8 +6,9 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import catalog
+from corpusloom.plans import catalog, vectors
 
+QUERIES, SQL = catalog.QUERIES | vectors.QUERIES, catalog.SQL | vectors.SQL
 SF = "/root/testdata/sf0.001"
 
 
@@ -23,12 +24,12 @@ def plain(v):
     return None if isinstance(v, float) and math.isnan(v) else round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_agrees_with_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     ours = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    found = duck.execute(catalog.SQL[name])
+    found = duck.execute(SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     theirs = sorted((tuple(plain(dict(zip(names, r, strict=True))[c]) for c in columns) for r in found.fetchall()), key=repr)
