@@ -59,3 +59,13 @@ def text_of(column: str = "text") -> Column:
 def id_fold(column: str, parts: int) -> Column:
     """crc32 of the id as text modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind them as it takes for df to have no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, text_of, written
+from corpusloom.llm.common import WORD, fresh, text_of, written
 
 #: Weights by a source's place in code-point order, repeating; the share of all words to take; copies at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -168,12 +168,15 @@ def mix(docs: DataFrame, seed: int = 20240607) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 20240607) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Whole rows move once, to meet their numbers of copies."""
 
+    own = fresh(docs, "_mix_id", "_mix_null", "_mix_key", "_mix_size", "_mix_copies", "_mix_nth", "_mix_times", "_mix_copy")
+    on, (all_, nth, times, copy) = own[:4], own[4:]
+
     def keys(df: DataFrame, size: Column) -> DataFrame:
-        return df.withColumns({"_mix_id": F.col("doc_id"), "_mix_null": F.col("doc_id").isNull(), "_mix_key": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")), "_mix_size": size}).withColumn("_mix_id", F.coalesce(F.col("_mix_id"), F.lit(0).cast(df.schema["doc_id"].dataType)))
+        kind = df.schema["doc_id"].dataType
+        of = (F.coalesce(F.col("doc_id"), F.lit(0).cast(kind)), F.col("doc_id").isNull(), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")), size)
+        return df.withColumns(dict(zip(on, of, strict=True)))
 
-    on = ["_mix_id", "_mix_null", "_mix_key", "_mix_size"]
-    found = keys(copies(docs, seed=seed), F.col("size")).groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("nth", F.col("copies").cast("int").alias("copies")))).alias("_mix_copies"))
+    found = keys(copies(docs, seed=seed), F.col("size")).groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("nth", F.col("copies").cast("int").alias("copies")))).alias(all_))
     rows = keys(docs, F.regexp_count(text_of(), F.lit(WORD)).cast("long")).join(found, on)
-    nth = F.row_number().over(Window.partitionBy(*on).orderBy(F.xxhash64(text_of())))
-    times = F.element_at("_mix_copies", F.col("_mix_nth"))["copies"]
-    return rows.withColumn("_mix_nth", nth).withColumn("_mix_times", times).where("_mix_times > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(*on).orderBy(F.xxhash64(text_of())))).withColumn(times, F.element_at(all_, F.col(nth))["copies"])
+    return rows.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, text_of, written
+from corpusloom.llm.common import WORD, fresh, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns. They differ from its text in form only: starts inside a run that cannot match are skipped
@@ -217,15 +217,16 @@ def redacted(docs: DataFrame) -> DataFrame:
     touched = found.select("doc_id", "row", base.cast(plain).alias("b")).where("size(b) > 0").groupBy("doc_id", "row").agg(F.first("b").alias("b"))
     spans = touched.alias("t").join(added.alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t.row") == F.col("a.row")), "full")
     none = F.array().cast(plain)
-    spans = spans.select(F.coalesce("t.doc_id", "a.doc_id").alias("_pii_id"), F.coalesce("t.row", "a.row").alias("_pii_row"), _ordered(F.concat(F.coalesce(F.col("b"), none), F.coalesce(F.col("added").cast(plain), none))).alias("_pii_spans"))
+    id_, row, spans_ = fresh(docs, "_pii_id", "_pii_row", "_pii_spans")
+    spans = spans.select(F.coalesce("t.doc_id", "a.doc_id").alias(id_), F.coalesce("t.row", "a.row").alias(row), _ordered(F.concat(F.coalesce(F.col("b"), none), F.coalesce(F.col("added").cast(plain), none))).alias(spans_))
     text = text_of()
 
     def step(s: Column, x: Column) -> Column:
         piece = F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
         return F.when(x["start"] < s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], piece, F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out")))
 
-    clean = F.aggregate("_pii_spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    out = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (F.xxhash64(text) == F.col("_pii_row")), "left").withColumn("text", F.when(F.col("_pii_spans").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate(spans_, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
+    out = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(row)), "left").withColumn("text", F.when(F.col(spans_).isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_pii_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans_).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
