@@ -65,7 +65,8 @@ def _fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(b, F.transform(b, filled))
     per = 64 // BITS
     pack = F.transform(F.sequence(F.lit(0), F.lit(WORDS64 - 1)), lambda k: F.aggregate(F.slice(F.col(b), k * per + 1, per), F.lit(0).cast("bigint"), lambda acc, v: F.shiftleft(acc, BITS).bitwiseOR(v)))
-    return df.withColumn(out, F.when(F.size(w) > 0, pack).otherwise(F.array().cast("array<bigint>"))).drop(w, s, b, f"{out}_2", f"{out}_4", f"{out}_5")
+    # Named twice, the bins are made once and not anew for each long that takes a slice of them.
+    return df.withColumn(out, F.when((F.size(w) > 0) & (F.size(b) > 0), pack).otherwise(F.array().cast("array<bigint>"))).drop(w, s, b, f"{out}_2", f"{out}_4", f"{out}_5")
 
 
 def _hex(fingerprint: str) -> Column:
