@@ -5,6 +5,9 @@ best score and its number of pieces, no path. Tie rules are the tokenizer's: sco
 candidate must be strictly better, and candidates for an end come in the order of their starts. A character that no
 piece of its own covers may be unknown, at the least score less 10, and counts as its bytes.
 
+The vocabulary is that of piece_bpe_32k.model, the only one at hand with a score for each piece; its scores are taken for
+unigram scores, any other of (piece, score) will do.
+
 Words are separated at spaces, the space going with the next word, so each distinct word is counted once in a task.
 
 Defined cases: null counts as empty, an empty text has no tokens; the vocabulary's mark for a space, U+2581, in a text

@@ -124,7 +124,9 @@ def seeds(docs: DataFrame, candidates: bool = True) -> DataFrame:
             whole = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(hits) - 1), piece), ""), own(F.element_at(between, -1)))
             struck[f"_c_{k}"] = F.when((F.size(f"_s_{k}") > 0) & (F.size("_h_word") > 0), F.transform(F.regexp_extract_all(whole, F.lit(CANDIDATE.replace("0-9@", f"0-9@{STRUCK}")), F.lit(0)), lambda w: w.contains(STRUCK)))
         df = df.withColumns(struck)
-        word = F.filter("_s_word", lambda w, i: ~F.coalesce(F.greatest(*[F.coalesce(F.get(f"_c_{k}", i), F.lit(False)) for k in KINDS]), F.lit(False)))
+        # Named twice, an array is made once and not anew for each word.
+        covers = lambda c, i: F.coalesce(F.when(F.size(c) > i, F.get(c, i)), F.lit(False))
+        word = F.filter("_s_word", lambda w, i: ~F.greatest(*[covers(f"_c_{k}", i) for k in KINDS]))
         out.append(word.cast(FOUND).alias("word"))
     return df.select(*out)
 
