@@ -83,3 +83,16 @@ def unresolved(named: DataFrame, files: DataFrame) -> DataFrame:
 def asset_gate(missing: DataFrame) -> DataFrame:
     """blocking, diagnostic, passed: one row."""
     return missing.agg(F.count_if("blocking").alias("blocking"), F.count_if(~F.col("blocking")).alias("diagnostic"), F.coalesce(F.bool_and(~F.col("blocking")), F.lit(True)).alias("passed"))
+
+
+def internal_links(pages: DataFrame) -> DataFrame:
+    """page_id, route, search, hash of links that lead to a captured page of the same host."""
+    named = references(pages).where("startswith(raw, '/') and not startswith(raw, '//')").withColumn("path", U.without_query(F.col("raw")))
+    there = pages.select(U.host(F.col("url")).alias("host"), U.path(F.col("url")).alias("path")).distinct()
+    found = named.join(there, ["host", "path"], "left_semi")
+    return found.select("page_id", F.col("path").alias("route"), F.regexp_extract(F.split("raw", "#")[0], r"(\?.*)$", 1).alias("search"), F.regexp_extract("raw", "(#.*)$", 1).alias("hash"))
+
+
+def pages_by_route(pages: DataFrame) -> DataFrame:
+    """route, pages (ids in order): all candidates of a route, first part of the path."""
+    return pages.groupBy(F.regexp_extract(U.path(F.col("url")), "^/([^/]*)", 1).alias("route")).agg(F.array_sort(F.collect_list("page_id")).alias("pages"))

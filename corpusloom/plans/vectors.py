@@ -17,7 +17,7 @@ from corpusloom.functions import script as S
 from corpusloom.functions import text as X
 from corpusloom.functions import url as U
 from corpusloom.operators import comparison, inventory, links, lookups, reports, sequences
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -562,3 +562,108 @@ def page_settings(spark, sf_dir):
     take = lambda p: F.regexp_extract("html", p, 1)
     direction = take('<html[^>]* dir="([^"]*)"')
     return table(spark, sf_dir, "pages").select("page_id", take('<body class="([^"]*)"').alias("body_class"), F.when(direction == "", F.lit("ltr")).otherwise(direction).alias("dir"), take('<meta name="viewport" content="([^"]*)"').alias("viewport"))
+
+
+# --- more of scripts, links and reports
+
+TALKS = [
+    (1, "fetch('https://api.example/v1'); window.open(\"https://shop.example/\"); x.src = '//cdn.example/a.js'; ns = 'http://www.w3.org/2000/svg'; base = 'https://unused.example/b'"),
+    (2, "location.href = 'https://other.example/'; new WebSocket('wss://live.example/s'); d = \"http://localhost:4173/dev\""),
+    (3, "var t = 1;"),
+]
+
+
+def found_in(patterns: dict[str, str]) -> str:
+    return " || ".join(f"regexp_extract_all(body, {pattern(p)}, 1)" for p in patterns.values())
+
+
+@query(f"""WITH t AS (SELECT id, body, unnest(list_distinct(regexp_extract_all(body, {pattern(S.LITERAL)}, 1))) AS url FROM {values('id, body', TALKS)})
+SELECT id, url, CASE WHEN {' OR '.join(f'starts_with(url, {literal(p)})' for p in U.INERT)} OR regexp_matches(url, '//localhost') THEN 'inert' WHEN list_contains({found_in(S.AUTOMATIC)}, url) THEN 'automatic' WHEN list_contains({found_in(S.NAVIGATION)}, url) THEN 'navigation' ELSE 'unknown' END AS class FROM t""")
+def network_findings(spark, sf_dir):
+    """Remote URLs that scripts quote: loaded at once, followed, inert, or unknown."""
+    return spark.createDataFrame(TALKS, "id int, body string").select("id", F.explode(S.network_findings(F.col("body"))).alias("f")).select("id", "f.*")
+
+
+@query(f"""WITH t AS (SELECT id, body, unnest(list_distinct(regexp_extract_all(body, {pattern(S.LITERAL)}, 1))) AS url FROM {values('id, body', TALKS)}), c AS (SELECT list_contains({found_in(S.AUTOMATIC)}, url) AS a FROM t)
+SELECT count(*) FILTER (a) AS automatic, count(*) FILTER (a) = 0 AS passed FROM c""")
+def no_external_gate(spark, sf_dir):
+    """The gate over what loads from elsewhere at once."""
+    found = spark.createDataFrame(TALKS, "id int, body string").select(F.explode(S.network_findings(F.col("body"))).alias("f")).where("f.class = 'automatic'")
+    return found.agg(F.count("*").alias("automatic")).select("automatic", (F.col("automatic") == 0).alias("passed"))
+
+
+CODE = [(1, "a = 'x // y'; // note\n/* fetch('z') */ b = `t`;"), (2, 'render() { /* later */ return "a \\" b"; }')]
+
+
+@query(f"SELECT id, regexp_replace(code, {pattern(S.UNREAD)}, ' ', 'g') AS masked FROM {values('id, code', CODE)}")
+def masked_code(spark, sf_dir):
+    """Scripts without comments and quoted text."""
+    return spark.createDataFrame(CODE, "id int, code string").select("id", S.masked(F.col("code")).alias("masked"))
+
+
+ENGINES = [(1, "class E { start() { this.run(1); } stop() { /* none */ } }", "this.run(1);"), (2, "e.start() { x }", None), (3, "start(a, b)\n{\n  go();\n  on(); }", "go(); on();")]
+
+
+@query(f"SELECT id, body FROM {values('id, code, body', ENGINES)}")
+def method_bodies(spark, sf_dir):
+    """Bodies of the method that starts an engine."""
+    return spark.createDataFrame([e[:2] for e in ENGINES], "id int, code string").select("id", S.method_body(F.col("code"), "start").alias("body"))
+
+
+QUOTED = [(1, "caf\\u00e9\\tx", "café\tx"), (2, 'say \\"hi\\"', 'say "hi"'), (3, 'plain "x"', 'plain "x"'), (4, "bad \\u00", None)]
+
+
+@query(f"SELECT id, body FROM {values('id, raw, body', QUOTED)}")
+def decoded_literals(spark, sf_dir):
+    """What quoted literals stand for."""
+    return spark.createDataFrame([q[:2] for q in QUOTED], "id int, raw string").select("id", S.decoded_literal(F.col("raw")).alias("body"))
+
+
+PAGE_PATH = "coalesce(nullif(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^(?i:https?:)?//[^/?#]+(/.*)$', 1), ''), '/')"
+PAGE_HOST = "regexp_extract(url, '^(?i:https?:)?//([^/?#]+)', 1)"
+
+
+@query(f"""WITH p AS (SELECT page_id, {PAGE_HOST} AS host, {PAGE_PATH} AS path, html FROM pages), r AS (SELECT page_id, host, unnest(regexp_extract_all(html, '(?:src|href|poster|data)=["'']([^"'']*)["'']', 1)) AS raw FROM p),
+n AS (SELECT page_id, host, raw, split_part(split_part(raw, '#', 1), '?', 1) AS path FROM r WHERE starts_with(raw, '/') AND NOT starts_with(raw, '//'))
+SELECT page_id, path AS route, regexp_extract(split_part(raw, '#', 1), '(\\?.*)$', 1) AS search, regexp_extract(raw, '(#.*)$', 1) AS hash FROM n WHERE EXISTS (SELECT 1 FROM p WHERE p.host = n.host AND p.path = n.path)""")
+def internal_links(spark, sf_dir):
+    """Links that lead to a captured page, in parts."""
+    return links.internal_links(table(spark, sf_dir, "pages"))
+
+
+@query(f"SELECT route, array_to_string(list_sort(list(page_id)), ',') AS pages FROM (SELECT page_id, regexp_extract({PAGE_PATH}, '^/([^/]*)', 1) AS route FROM pages) GROUP BY route")
+def pages_by_route(spark, sf_dir):
+    """All pages of each first part of a path."""
+    return links.pages_by_route(table(spark, sf_dir, "pages")).select("route", F.array_join("pages", ",").alias("pages"))
+
+
+@query("SELECT lang, count(DISTINCT source) AS sources, count(DISTINCT n_chars) AS sizes FROM documents GROUP BY lang")
+def distinct_counts(spark, sf_dir):
+    """Distinct sources and sizes for each language."""
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.countDistinct("source").alias("sources"), F.countDistinct("n_chars").alias("sizes"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.k') = '7' AS same FROM events")
+def parsed_reports(spark, sf_dir):
+    """Event properties read as JSON, and whether they equal a given record (properties for reports)."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").alias("p"))
+    given = F.from_json(F.lit('{ "k" : 7 }'), "k int")
+    return rows.select("event_id", "p.k", (F.to_json("p") == F.to_json(given)).alias("same"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents")
+def decoded_texts(spark, sf_dir):
+    """Files read as UTF-8 (documents, as the bytes that they have in a file)."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.col("text"), "UTF-8").alias("content"))
+    return texts(files)
+
+
+WHITE = "[\\s\\x{0B}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
+
+
+@query(f"""WITH a AS (SELECT page_id AS ix, sha256(lower(trim(regexp_replace(html, '{WHITE}', ' ', 'g')))) AS d FROM pages), b AS (SELECT CAST(floor(ix / 4096) AS BIGINT) AS ix, sha256(string_agg(d, '' ORDER BY ix)) AS d FROM a GROUP BY 1),
+c AS (SELECT CAST(floor(ix / 4096) AS BIGINT) AS ix, sha256(string_agg(d, '' ORDER BY ix)) AS d FROM b GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY ix)) AS evidence FROM c""")
+def evidence_digest(spark, sf_dir):
+    """One digest of all pages' normalized text in order, through a tree of digests."""
+    pages = table(spark, sf_dir, "pages")
+    return inventory.ordered_fingerprint(pages, "page_id", F.sha2(X.normalized(F.col("html")), 256)).withColumnRenamed("fingerprint", "evidence")

@@ -69,3 +69,8 @@ def captured(files: DataFrame) -> DataFrame:
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Rows as JSON lines; Spark commits all files or none."""
     df.write.mode(mode).json(path)
+
+
+def texts(files: DataFrame) -> DataFrame:
+    """path, text of files with their content read as UTF-8; what is none comes with replacement characters."""
+    return files.select("path", F.decode(F.col("content"), "UTF-8").alias("text"))
