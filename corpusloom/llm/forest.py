@@ -30,6 +30,8 @@ from corpusloom.llm.components import components
 
 #: Least cosine of a link; trees; vectors that they are fitted on, about; vectors of a leaf aimed at; sample vectors of a leaf at least.
 COSINE, TREES, SAMPLE, LEAF, FEWEST = 0.95, 10, 20_000, 384, 8
+#: Numbers of the sample at most, so that long vectors give fewer; 1,000 of them at least.
+NUMBERS = 1 << 23
 #: Projections (of deviation 1 about) this close to a split go down both sides; a split helps if its sides hold at most this share.
 MARGIN, HELPS = 0.12, 0.8
 #: Vectors of a block; leaves that may be broadcast.
@@ -208,7 +210,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     seen: DataFrame | None = None
     for dim, total in totals.items():
         own = nodes.where(F.col("dim") == dim)
-        drawn = F.shiftrightunsigned(F.xxhash64("rep", F.lit(23)), 33) * F.lit(float(total)) < F.lit(float(SAMPLE << 31))
+        drawn = F.shiftrightunsigned(F.xxhash64("rep", F.lit(23)), 33) * F.lit(float(total)) < F.lit(float(min(SAMPLE, max(1000, NUMBERS // dim)) << 31))
         sample = _matrix([r.vector for r in own.where(drawn).select("rep", "vector").orderBy("rep").select("vector").collect()], kind)
         forest = spark.sparkContext.broadcast(fitted(sample.reshape(-1, dim), total))
 
