@@ -52,3 +52,28 @@ def failure_signature(stage: Column, findings: Column, drop: tuple[str, ...] = (
 def merged(defaults: Column, given: Column) -> Column:
     """A map of defaults and given entries; given ones count."""
     return F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(given, k)), given)
+
+
+def deep_strings(rows: DataFrame, key: str, json: str, depth: int = 64) -> DataFrame:
+    """key, text: every string in JSON texts, at whatever depth; raises beyond `depth`. One pass for each level; what is no JSON has none."""
+    level = rows.select(key, F.try_parse_json(json).alias("v")).where("v is not null")
+    kind = F.schema_of_variant("v")
+    found = None
+    for _ in range(depth):
+        strings = level.where(kind == "STRING").select(key, F.variant_get("v", "$", "string").alias("text"))
+        found = strings if found is None else found.unionByName(strings)
+        level = level.where(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")))
+        if not level.take(1):
+            return found
+        level = level.sparkSession.sql(f"SELECT {key}, e.value AS v FROM {{level}}, LATERAL variant_explode(v) AS e", level=level)
+    raise RuntimeError(f"JSON is nested deeper than {depth} levels")
+
+
+def site_summary(pages: DataFrame, route: Column, scripts: Column, title: Column) -> DataFrame:
+    """routes, pages, scripts, untitled: one row over all pages."""
+    return pages.agg(F.countDistinct(route).alias("routes"), F.count("*").alias("pages"), F.coalesce(F.sum(F.size(scripts)), F.lit(0)).cast("long").alias("scripts"), F.count_if(title == "").alias("untitled"))
+
+
+def lacking(sources: DataFrame, bodies: dict[str, Column]) -> DataFrame:
+    """id, missing: the names, in order, of the bodies that are null or empty in each source."""
+    return sources.select("id", F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(b, F.lit("")) == "", F.lit(n)) for n, b in bodies.items()])), ",").alias("missing"))

@@ -17,6 +17,7 @@ from corpusloom.functions import script as S
 from corpusloom.functions import text as X
 from corpusloom.functions import url as U
 from corpusloom.operators import comparison, inventory, links, lookups, reports, sequences
+from corpusloom.sources.images import pixels
 from corpusloom.sources.tables import table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -667,3 +668,70 @@ def evidence_digest(spark, sf_dir):
     """One digest of all pages' normalized text in order, through a tree of digests."""
     pages = table(spark, sf_dir, "pages")
     return inventory.ordered_fingerprint(pages, "page_id", F.sha2(X.normalized(F.col("html")), 256)).withColumnRenamed("fingerprint", "evidence")
+
+
+REWRITES = [(1, "load('a.js', 'b.js')", [(6, 10, "x"), (14, 18, "yy")], "load('x', 'yy')"), (2, "é😀z", [(1, 2, "*"), (0, 2, "!")], "!z"), (3, "same", [], "same")]
+
+
+@query(f"SELECT id, body FROM {values('id, body', [(r[0], r[3]) for r in REWRITES])}")
+def applied_edits(spark, sf_dir):
+    """Texts with edits made at their places."""
+    rows = spark.createDataFrame([r[:3] for r in REWRITES], "id int, raw string, edits array<struct<start:int,end:int,value:string>>")
+    return rows.select("id", X.edited(F.col("raw"), F.col("edits")).alias("body"))
+
+
+NESTED = [(1, '{"a": ["x", {"b": "y", "c": [["z"], 3, null]}], "d": true}'), (2, '"top"'), (3, "no json"), (4, "[]")]
+
+
+@query("SELECT id, body FROM (VALUES (1, 'x'), (1, 'y'), (1, 'z'), (2, 'top')) AS v(id, body)")
+def deep_strings(spark, sf_dir):
+    """Every string of nested records."""
+    return reports.deep_strings(spark.createDataFrame(NESTED, "id int, raw string"), "id", "raw").withColumnRenamed("text", "body")
+
+
+@query(f"SELECT count(DISTINCT {PAGE_PATH}) AS routes, count(*) AS pages, CAST(coalesce(sum(len(regexp_extract_all(html, '<script[^>]*>'))), 0) AS BIGINT) AS scripts, count(*) FILTER (regexp_extract(html, '<title>([^<]*)</title>', 1) = '') AS untitled FROM pages")
+def site_summary(spark, sf_dir):
+    """Routes, pages, scripts and untitled pages of all that was captured."""
+    scripts = F.regexp_extract_all("html", F.lit("<script[^>]*>"), F.lit(0))
+    return reports.site_summary(table(spark, sf_dir, "pages"), U.path(F.col("url")), scripts, F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+
+
+@query("SELECT id, missing FROM (VALUES (1, 'stop,resize'), (2, 'start,stop,resize'), (3, 'stop,resize')) AS v(id, missing)")
+def engine_gate(spark, sf_dir):
+    """Methods that engines lack or leave empty."""
+    rows = spark.createDataFrame([e[:2] for e in ENGINES], "id int, code string")
+    return reports.lacking(rows, {n: S.method_body(F.col("code"), n) for n in ("start", "stop", "resize")})
+
+
+TAGS = ("main", "canvas", "button", "input", "form", "section", "a")
+
+
+@query(f"SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<({'|'.join(TAGS)})[ >]', 1)) AS tag FROM pages) GROUP BY ALL")
+def interface_elements(spark, sf_dir):
+    """Elements that make each page's interface."""
+    tags = F.regexp_extract_all("html", F.lit(f"<({'|'.join(TAGS)})[ >]"), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(tags).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+def _png(width: int, height: int, kind: int, lines: list[bytes]) -> bytes:
+    import struct
+    import zlib
+
+    def chunk(name: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+
+
+PICTURES = [
+    (1, _png(2, 2, 6, [bytes([0, 1, 2, 3, 4, 5, 6, 7, 8]), bytes([2, 1, 1, 1, 1, 1, 1, 1, 1])]), 2, "1,2,3,4,5,6,7,8,2,3,4,5,6,7,8,9"),
+    (2, _png(3, 3, 0, [bytes([1, 10, 1, 255]), bytes([3, 5, 5, 5]), bytes([4, 1, 2, 3])]), 3, "10,11,10,10,15,17,11,17,20"),
+    (3, b"no picture", None, None),
+]
+
+
+@query(f"SELECT id, CAST(width AS INTEGER) AS width, shown FROM {values('id, width, shown', [(p[0], p[2], p[3]) for p in PICTURES])}")
+def picture_pixels(spark, sf_dir):
+    """Pixels of captured pictures."""
+    rows = spark.createDataFrame([(p[0], bytearray(p[1])) for p in PICTURES], "id int, content binary").select("id", pixels(F.col("content")).alias("p"))
+    return rows.select("id", "p.width", F.when(F.col("p.pixels").isNotNull(), F.array_join("p.pixels", ",")).alias("shown"))
