@@ -118,13 +118,10 @@ def _comparer(kind: str):
         """Links of one block pair of a leaf: for each vector the copies it links with here, and a vector of its local component."""
         leaf = int(pdf["leaf"].iloc[0])
         x = unit(_matrix(pdf["vector"].tolist(), kind))
-        rep, m, side = pdf["rep"].to_numpy(), pdf["m"].to_numpy(), pdf["side"].to_numpy()
-        paths = np.full((len(x), max(map(len, pdf["leaves"]))), -1, np.int64)
-        for i, p in enumerate(pdf["leaves"]):
-            paths[i, : len(p)] = p
-        paths[paths >= leaf] = -1  # earlier leaves only
+        rep, m, side, leaves = pdf["rep"].to_numpy(), pdf["m"].to_numpy(), pdf["side"].to_numpy(), pdf["leaves"].to_numpy()
         links, parent = np.zeros(len(x), np.int64), np.arange(len(x))
         cross = (side != side[0]).any()
+        bits: np.ndarray | None = None
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -137,10 +134,18 @@ def _comparer(kind: str):
             i, j = i + at, j + at
             ok = (i < j) & ((side[i] != side[j]) if cross else True)
             i, j = i[ok], j[ok]
-            for k in range(0, len(i), 20_000):
-                a, b = i[k : k + 20_000], j[k : k + 20_000]
-                before = ((paths[a][:, :, None] == paths[b][:, None, :]) & (paths[a][:, :, None] >= 0)).any((1, 2))
-                a, b = a[~before], b[~before]
+            if len(i) and bits is None:
+                # Earlier leaves of each vector, a bit for each leaf that occurs: two share one where their bits meet.
+                row = np.repeat(np.arange(len(x)), [len(v) for v in leaves])
+                of = np.concatenate(leaves)
+                row, of = row[of < leaf], of[of < leaf]
+                number = np.unique(of, return_inverse=True)[1]
+                bits = np.zeros((len(x), int(number.max(initial=0)) // 64 + 1), np.uint64)
+                np.bitwise_or.at(bits, (row, number // 64), np.uint64(1) << (number % 64).astype(np.uint64))
+            for k in range(0, len(i), 50_000):
+                a, b = i[k : k + 50_000], j[k : k + 50_000]
+                new = ~(bits[a] & bits[b]).any(1)
+                a, b = a[new], b[new]
                 np.add.at(links, a, m[b])
                 np.add.at(links, b, m[a])
                 for p, q in zip(a.tolist(), b.tolist(), strict=True):
