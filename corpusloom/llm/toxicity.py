@@ -147,8 +147,10 @@ def _toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for last, w in zip(["", *words], words, strict=False):
                 for s in _forms(w):
                     after.setdefault(s, set()).add(last)
-    for s, found in after.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s] * len(found)), pa.array(sorted(found)), pa.array([texts[s]] + [0] * (len(found) - 1), pa.int64())], names=["term", "last", "n"])
+    terms = sorted(after)
+    for i in range(0, len(terms), 2000):
+        some = [(s, last, 0 if j else texts[s]) for s in terms[i : i + 2000] for j, last in enumerate(sorted(after[s]))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["term", "last", "n"])
 
 
 def fit(rows: DataFrame, min_log_odds: float = 3.0) -> Lexicon:
