@@ -47,10 +47,16 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what an Arrow batch of whole texts takes in a Python worker."""
+    """Bound what an Arrow batch of whole texts takes in a Python worker. The setting stays, as results are computed later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def parts_for(spark: SparkSession, least: int) -> int:
+    """How many parts packed keys are dealt to: as many as shuffles have partitions, so they stay small as these grow with the input."""
+    found = spark.conf.get("spark.sql.shuffle.partitions", "200")
+    return max(least, int(found) if found.isdigit() else 200)
+
+
 def text_of(column: str = "text") -> Column:
     """A null text is an empty one."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

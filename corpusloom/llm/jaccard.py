@@ -17,7 +17,8 @@ near copies cost about their size.
 
 Defined cases: texts without words, or null, have empty sets and are alone; fewer than five words are one shingle;
 rows that share a doc_id and a text are one document, rows that share a doc_id only have a class each; rows without a
-doc_id are alone, their component null; extra columns are ignored. Sets are told apart by 128 bits of hashes.
+doc_id are alone, their component null; extra columns are ignored. Sets are told apart by 128 bits of hashes,
+by 64 of them where links are sought.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import dropped, small_batches, written
+from corpusloom.llm.common import dropped, parts_for, small_batches, written
 from corpusloom.llm.components import components
 from corpusloom.llm.shingles import mixed, overlap, shingle_set
 
@@ -332,7 +333,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; links: 100 * common >= 80 * union."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_for(spark, 16)
     packed = written(packed_sets(docs, parts), "jaccard-packed")
     found = written(packed.where("chunk is null").select("doc_id", "n", "c1", "c2"), "jaccard-sets")
     classes = found.where("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"))

@@ -26,7 +26,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Words with a digit or an at sign: what a pattern may discover.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Code points on either side that a context is taken from; hits that are placed at once; what stands for struck characters.
-REACH, RUN, STRUCK = 48, 128, "\x01"
+REACH, RUN, STRUCK = 48, 512, "\x01"
 FOUND = "array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>"
 
 
@@ -192,10 +192,10 @@ def _joined(spans: Column) -> Column:
 
 
 def _ordered(spans: Column) -> Column:
-    """By start, then kind as listed, then end."""
+    """By start, then kind as listed, then end. No span stands twice: added ones are distinct and cover no base one."""
     place = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     keyed = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), place[x["kind"]].alias("place"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return F.transform(F.array_sort(F.array_distinct(keyed)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
