@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +48,22 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what an Arrow batch of whole texts takes in a Python worker. The setting stays, as results are computed later."""
+    """Bound what an Arrow batch of whole texts takes in a Python worker, in rows and bytes. The settings stay, as results are computed later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
+def blocks(data: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """Cut a long text at ASCII white space into blocks of about `size` bytes; what has no white space stays whole."""
+    start = 0
+    while len(data) - start > size:
+        end = max(data.rfind(c, start, start + size) for c in (b" ", b"\n", b"\t"))
+        if end <= start:
+            end = min((x for c in (b" ", b"\n", b"\t") if (x := data.find(c, start + size)) >= 0), default=len(data))
+        yield data[start:end]
+        start = end
+    if start < len(data):
+        yield data[start:]
 
 
 def parts_for(spark: SparkSession, least: int) -> int:

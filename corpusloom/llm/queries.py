@@ -1,4 +1,4 @@
-"""The ten queries over the training-data tables, each through its operator, and their SQL where SQL can say it."""
+"""The thirteen queries over the training-data tables, each through its operator, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.collocations import collocations
 from corpusloom.llm.common import table
 from corpusloom.llm.counts import token_counts
 from corpusloom.llm.fingerprint import fingerprints
@@ -13,9 +14,11 @@ from corpusloom.llm.forest import near_duplicates
 from corpusloom.llm.jaccard import jaccard_components
 from corpusloom.llm.mixer import language_scores
 from corpusloom.llm.mixing import mix
+from corpusloom.llm.packing import packed
 from corpusloom.llm.passages import shared_passages
 from corpusloom.llm.pieces import round_trips
 from corpusloom.llm.pii import personal_data
+from corpusloom.llm.spelling import spelling_variants
 from corpusloom.llm.toxicity import toxicity
 
 
@@ -69,6 +72,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every tokenized text in sequences of 2048 tokens. A null text is its end alone; rows that repeat are packed each on their own."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two to four words of each language. A null text has no words, a null lang is `und`."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with their forms, roots and numbers of near words. A null text has no words, a null id is the empty text."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sentencepiece": op2_sentencepiece,
@@ -80,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_scores": op8_language_scores,
     "op9_embeddings": op9_embeddings,
     "op10_toxicity": op10_toxicity,
+    "op11_packing": op11_packing,
+    "op12_collocations": op12_collocations,
+    "op13_spelling": op13_spelling,
 }
 
 #: The smallest node that a node reaches over linked(a, b), from nodes(id).
@@ -96,4 +117,15 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, l.component_id FROM s
     "op9_embeddings": f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 linked AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95), nodes AS (SELECT vec_id AS id FROM v), {REACHED}
 SELECT v.vec_id, (SELECT count(*) FROM both_ways e WHERE e.a = v.vec_id) AS n_links, l.component_id, v.vec_id = l.component_id AS kept FROM v JOIN least l ON l.id = v.vec_id""",
+    "op12_collocations": """WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, j, string_split(c.phrase, ' ') AS ws FROM f c, range(1, 4) t(j) WHERE j < c.k),
+s AS (SELECT c.lang, c.phrase, c.a, c.j, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.a) // (x.f + y.f) AS BIGINT) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT DISTINCT c.lang, array_to_string(string_split(c.phrase, ' ')[i:i + m - 1], ' ') AS phrase, c.f FROM f c, range(2, 4) t(m), range(1, 4) u(i) WHERE m < c.k AND i + m - 1 <= c.k),
+kept AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.f >= 80 * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN total USING (lang) QUALIFY rank <= 2000""",
 }
