@@ -44,9 +44,10 @@ def first_by_content(df: DataFrame, content: str, order: str) -> DataFrame:
 def ordered_fingerprint(df: DataFrame, order: str, digest: Column, fanout: int = 4096, levels: int = 3) -> DataFrame:
     """One row: the digest of the digests in order, through a tree of `fanout` children a node, so that no node is large.
 
-    order must hold distinct numbers from 0 up, less than fanout ** levels.
+    order must hold distinct numbers from 0 up, less than fanout ** levels; any other is refused. ordering.path_fingerprint takes paths, and any number.
     """
-    level = df.select(F.col(order).cast("bigint").alias("at"), digest.alias("d"))
+    at = F.col(order).cast("bigint")
+    level = df.select(F.when((at >= 0) & (at < fanout**levels), at).otherwise(F.raise_error(F.lit(f"a number outside 0 to {fanout**levels - 1}")).cast("bigint")).alias("at"), digest.alias("d"))
     for _ in range(levels):
         node = F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda x: x["d"])
         level = level.groupBy(F.floor(F.col("at") / fanout).cast("bigint").alias("up")).agg(F.sha2(F.array_join(node, ""), 256).alias("d")).withColumnRenamed("up", "at")

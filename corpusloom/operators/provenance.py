@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.functions.text import normalized
+from corpusloom.functions.text import collapsed, normalized, user_facing
+from corpusloom.operators.ordering import path_fingerprint
 
-#: Phrases that may be broadcast; beyond that keys meet in a shuffle.
-SENDABLE = 100_000
+#: Phrases, and characters of phrases, that may be broadcast; beyond that keys meet in a shuffle.
+SENDABLE, LETTERS = 100_000, 4_000_000
 
 
 def _grams(column: str) -> Column:
@@ -17,8 +22,45 @@ def _grams(column: str) -> Column:
     return F.when(F.size(words) >= 3, F.array_distinct(three)).otherwise(F.array().cast("array<string>"))
 
 
+def _scanned(phrases: DataFrame, documents: DataFrame) -> DataFrame:
+    """phrase, doc_id: what one automaton of all phrases (a column of distinct ones) finds in each text, which is read once where it lies."""
+    sent = phrases.sparkSession.sparkContext.broadcast([r.phrase for r in phrases.select("phrase").collect()])
+    shape = T.StructType([T.StructField("phrase", T.StringType()), T.StructField("doc_id", documents.schema["doc_id"].dataType)])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p in sent.value:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        for batch in batches:
+            found, at = [], []
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                hits = {p for _, p in automaton.iter(body)} if body and len(automaton) else set()
+                found += hits
+                at += [i] * len(hits)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(0).take(pa.array(at, pa.int64()))], names=shape.fieldNames())
+
+    return documents.select("doc_id", normalized(F.col("text")).alias("body")).mapInArrow(rows, shape)
+
+
 def supported_pairs(phrases: DataFrame, documents: DataFrame) -> DataFrame:
-    """item_id, doc_id where a document's normalized text contains the item's.
+    """item_id, doc_id where a document's normalized text contains the item's, each once.
+
+    Phrases of at most LETTERS characters in all, which are counted first, go to the tasks as one automaton, and nothing
+    but its hits moves. More of them meet the documents by keys. Null and empty phrases are in no document, rows
+    without a text contain nothing.
+    """
+    p = phrases.select("item_id", normalized(F.col("text")).alias("phrase")).where("phrase <> ''")
+    each = p.select("phrase").distinct()
+    if (each.agg(F.sum(F.length("phrase"))).first()[0] or 0) > LETTERS:
+        return _by_keys(phrases, documents)
+    return _scanned(each, documents).join(p, "phrase").select("item_id", "doc_id").distinct()
+
+
+def _by_keys(phrases: DataFrame, documents: DataFrame) -> DataFrame:
+    """As supported_pairs, for any number of phrases.
 
     Containment is not an equality, so pairs are found by inner words of the phrase, whole words of any text that
     contains it: three of them, or one where the phrase has but three or four words. Only texts of documents that such a
@@ -49,6 +91,28 @@ def unsupported(phrases: DataFrame, documents: DataFrame) -> DataFrame:
     return phrases.join(supported_pairs(phrases, documents).select("item_id").distinct(), "item_id", "left_anti").select("item_id")
 
 
+def source_phrases(files: DataFrame) -> DataFrame:
+    """path, phrase: the lines of files (path, text) that read like text for people, white space collapsed, each once."""
+    lines = files.select("path", F.explode(F.split("text", "\n")).alias("line")).where(user_facing(F.col("line")))
+    return lines.select("path", collapsed(F.col("line")).alias("phrase")).distinct()
+
+
+def checked_phrases(files: DataFrame, evidence: DataFrame) -> DataFrame:
+    """path, phrase, supported: whether any text of the evidence (path, text) contains the phrase, white space and case aside."""
+    phrases = source_phrases(files)
+    found = supported_pairs(phrases.select(F.col("phrase").alias("item_id"), F.col("phrase").alias("text")), evidence.select(F.col("path").alias("doc_id"), "text"))
+    known = found.select(F.col("item_id").alias("phrase"), F.lit(True).alias("known")).distinct()
+    return phrases.join(known, "phrase", "left").select("path", "phrase", F.col("known").isNotNull().alias("supported"))
+
+
+def provenance_gate(files: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row: passed, checked, unsupported, evidence_files, evidence_sha256 (of the normalized texts in the order of their paths)."""
+    counts = checked_phrases(files, evidence).agg(F.coalesce(F.bool_and("supported"), F.lit(True)).alias("passed"), F.count("*").alias("checked"), F.count_if(~F.col("supported")).alias("unsupported"))
+    digests = evidence.select("path", F.sha2(normalized(F.col("text")), 256).alias("sha256"))
+    print_ = path_fingerprint(digests).withColumnRenamed("fingerprint", "evidence_sha256")
+    return counts.join(evidence.agg(F.count("*").alias("evidence_files")), how="cross").join(print_, how="cross")  # one row each
+
+
 def precedence(statuses: DataFrame, by: str) -> DataFrame:
     """One decision a group: restricted if any row is, else unverified if any is, else covered."""
     any_of = lambda s: F.bool_or(F.col("status") == s)

@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import catalog, vectors
+from corpusloom.plans import captures, catalog, vectors
 
-QUERIES, SQL = catalog.QUERIES | vectors.QUERIES, catalog.SQL | vectors.SQL
+QUERIES, SQL = catalog.QUERIES | vectors.QUERIES | captures.QUERIES, catalog.SQL | vectors.SQL | captures.SQL
 SF = "/root/testdata/sf0.001"
 
 
