@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import url as U
-from corpusloom.operators import elements, ordering, provenance
-from corpusloom.sources.tables import table
+from corpusloom.operators import closure, elements, ordering, provenance
+from corpusloom.sources.tables import table, texts
+from corpusloom.sources.trees import new_folder, read_tree, write_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,3 +134,45 @@ def site_fingerprint(spark, sf_dir):
 def event_order(spark, sf_dir):
     """The place of each event in the order of kinds, times and ids, numbered without one task for all."""
     return ordering.numbered(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_type", "ts", "event_id", name="place").select("event_id", "place")
+
+
+# --- closure of names over files
+
+
+FILES = f"""WITH p AS (SELECT page_id, {HOST} AS host, {PATH} AS path, html FROM pages), f AS (SELECT *, host || path || CASE WHEN ends_with(path, '/') THEN 'index.html' ELSE '' END AS file FROM p),
+r AS (SELECT DISTINCT f.file AS "from", f.host, split_part(split_part(h, '#', 1), '?', 1) AS name FROM f, (SELECT page_id AS id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages) l WHERE l.id = f.page_id AND NOT regexp_matches(h, '^(#|//|[a-z]+:)') AND h <> ''),
+n AS (SELECT *, host || '/' || ltrim(name, '/') AS resolved FROM r)"""
+
+
+def captured_files(spark, sf_dir):
+    """Pages as the files of a capture: a folder for each host."""
+    path = U.path(F.col("url"))
+    name = F.concat(U.host(F.col("url")), path, F.when(F.endswith(path, F.lit("/")), "index.html").otherwise(""))
+    return of_pages(spark, sf_dir).select(name.alias("path"), F.col("html").alias("text"))
+
+
+def named_files(spark, sf_dir):
+    return closure.references(captured_files(spark, sf_dir), extensions=None, attributes=True, root=F.substring_index("path", "/", 1))
+
+
+@query(f"""{FILES} SELECT "from", name AS raw, 'static' AS source, resolved, true AS blocking FROM n WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.file = n.resolved)""")
+def unclosed_references(spark, sf_dir):
+    """What pages, as files of their hosts' folders, name that was not captured."""
+    return closure.missing(named_files(spark, sf_dir), captured_files(spark, sf_dir))
+
+
+@query(f"""{FILES} SELECT host, count(*) AS "references", count(*) FILTER (NOT there) AS blocking, 0 AS diagnostic, bool_and(there) AS passed FROM (SELECT host, EXISTS (SELECT 1 FROM f WHERE f.file = n.resolved) AS there FROM n) GROUP BY host""")
+def closure_gate(spark, sf_dir):
+    """The closure gate of each host."""
+    refs = named_files(spark, sf_dir).withColumn("host", F.substring_index("from", "/", 1))
+    return closure.gate(refs, captured_files(spark, sf_dir), by="host")
+
+
+@query(f"""{FILES} SELECT count(*) AS "references", count(*) FILTER (NOT there) AS blocking, 0 AS diagnostic, coalesce(bool_and(there), true) AS passed FROM (SELECT EXISTS (SELECT 1 FROM f WHERE f.file = n.resolved) AS there FROM n)""")
+def tree_closure_gate(spark, sf_dir):
+    """Pages written out as a tree of files, scanned folder by folder, and the closure gate over what the tree holds."""
+    root = new_folder(spark, "capture")
+    named = F.concat("path", F.lit(".page"))  # a page's path may be the folder of another page
+    write_tree(captured_files(spark, sf_dir).select(named.alias("path"), F.col("text").alias("content")), root)
+    files = texts(read_tree(spark, root)).withColumn("path", F.regexp_replace("path", r"\.page$", ""))
+    return closure.gate(closure.references(files, extensions=None, attributes=True, root=F.substring_index("path", "/", 1)), files)
