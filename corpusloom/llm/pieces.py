@@ -5,13 +5,16 @@ of the seed, the document, the word's place in it, the merge's place in the word
 dropout rate, so each seed, document and occurrence of a word gets a segmentation of its own and every run repeats it.
 Rate 0 is the tokenizer's plain encoding.
 
-No piece goes on past a word with the space of the next, so words are encoded apart: short ones all at once in
-arrays, long ones through a heap. Characters outside the vocabulary become bytes; so does U+2581, the mark that stands
-for a space, which the plain tokenizer would give back as a space.
-
-Defined cases: null counts as empty, and an empty text has no pieces; rows with one id that follow each other, as
-copies do, are numbered and each segmented in its own way; others with equal texts and ids get equal pieces; a null id
-is one like any other; extra columns are ignored.
+No piece goes on past a word with the space of the next, so words are encoded apart; what is long without a space is
+cut where no piece of the vocabulary holds the two characters side by side, as around line ends. Short words are encoded
+all at once in arrays. Long ones are, too: a candidate that is best among all within the length of the longest piece on
+both sides can be overtaken by nothing, so all such merges are made at once; where that is slow, as in a run of one
+letter, a heap goes on. Characters outside the vocabulary become bytes; so does U+2581, the mark that
+stands for a space, which the plain tokenizer would give back as a space.
+
+Defined cases: null counts as empty, and an empty text has no pieces; rows with equal ids and texts get equal pieces,
+however rows are laid out, unless a column with the copy's number tells them apart; a null id is one like any other;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +38,34 @@ MODEL, RATE, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 20240607
 SPACE = "▁"
 #: A text's own U+2581, while it is encoded: no valid text holds this.
 OWN_MARK = "\udfff"
-#: Longer words go through the heap.
-LONG = 48
+#: Longer words are cut where no piece can lie, and merged in the long arrays; a heap takes over after so many rounds, or where a round makes less than one in SLOW merges.
+LONG, ROUNDS, SLOW = 48, 400, 2000
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NONE = np.int32(2**31 - 1)
 
 
+MASK = (1 << 64) - 1
+
+
+def _mixed_one(h: int, salt: int) -> int:
+    """mixed() of one number."""
+    h = (h + salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & MASK
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & MASK
+    return h ^ h >> 31
+
+
+def _least_around(a: np.ndarray, w: int) -> np.ndarray:
+    """The least of each place and the w places on both sides of it."""
+    n, size, k = len(a), 2 * w + 1, 1
+    edge = np.full(w, np.iinfo(a.dtype).max, a.dtype)
+    m = np.concatenate([edge, a, edge])
+    while 2 * k <= size:
+        m = np.minimum(m[:-k], m[k:])
+        k *= 2
+    return np.minimum(m[:n], m[size - k : size - k + n])
+
+
 def read_model(path: str = MODEL) -> dict:
     """pieces (text, score; None for other than normal ones) and byte ids, read on the driver; a few hundred KB."""
     import sentencepiece
@@ -84,6 +109,8 @@ class Coder:
         self.table = np.full(0x110000, -1, np.int32)
         for c, i in self.letter.items():
             self.table[ord(c)] = i
+        self.longest = max(map(len, self.id_of))
+        self.beside = np.array(sorted({ord(a) << 21 | ord(b) for p in self.id_of for a, b in zip(p, p[1:], strict=False)}), np.int64)
         self.keys = np.array(sorted(self.merge), np.int64)
         self.merged = np.array([self.merge[int(k)] for k in self.keys], np.int32)
         self.raw: list[bytes] = [b"" if p is None else p[0].replace(SPACE, " ").encode() for p in pieces]
@@ -169,7 +196,7 @@ class Coder:
                 rank[w, a] = np.where(good, self.rank[piece], NONE)
         return sym
 
-    def _ids(self, unit: str, sym: list[int]) -> list[int]:
+    def _ids(self, unit: str | list[str], sym: list[int]) -> list[int]:
         ids = []
         for c, s in zip(unit, sym, strict=False):
             if s == -1 or s >= len(self.raw):
@@ -181,19 +208,87 @@ class Coder:
     def _bytes(self, c: str) -> list[int]:
         return [self.model["bytes"][b] for b in (SPACE if c == OWN_MARK else c).encode("utf-8", "surrogatepass")]
 
-    def long(self, unit: str, key: int, rate: float) -> list[int]:
-        """Encode one word through a heap: time as length times its logarithm."""
-        limit, n = int(rate * (1 << 53)), len(unit)
-        sym = [self.letter.get(c, -1) for c in unit]
+    def _units(self, text: str | None) -> list[str]:
+        """The words of a text, each with the space before it; long ones in parts that no piece joins."""
+        if not text:
+            return []
+        out = []
+        for unit in UNIT.findall(SPACE + text.replace(SPACE, OWN_MARK).replace(" ", SPACE)):
+            if len(unit) <= LONG:
+                out.append(unit)
+                continue
+            c = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            pair = c[:-1] << 21 | c[1:]
+            at = np.searchsorted(self.beside, pair)
+            at[at == len(self.beside)] = 0
+            cuts = [0, *(np.nonzero(self.beside[at] != pair)[0] + 1).tolist(), len(unit)]
+            out += [unit[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def long(self, units: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As short(), for words of any length: all in one row of symbols, words parted by -2."""
+        limit = int(rate * (1 << 53))
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        owner = np.repeat(np.arange(len(units)), lengths + 1)
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        left = np.arange(len(owner)) - starts[owner]
+        inner = left < lengths[owner]
+        sym = np.full(len(owner), -2, np.int32)
+        sym[inner] = self.table[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        end, made, rank = left + 1, np.full(len(owner), -1, np.int32), np.full(len(owner), NONE, np.int32)
+
+        def offer(i: np.ndarray) -> None:
+            """Candidates of the symbols at i and behind them."""
+            piece = self._lookup(sym[i], sym[i + 1]).astype(np.int32)
+            good = piece >= 0
+            j = i[good]
+            good[good] = ~self._drops(keys[owner[j]], left[j], end[j + 1], piece[good], limit)
+            made[i], rank[i] = piece, np.where(good, self.rank[piece], NONE)
+
+        offer(np.arange(len(sym) - 1))
+        for _ in range(ROUNDS):
+            live = rank < NONE
+            if not live.any():
+                break
+            order = rank.astype(np.int64) << 32 | np.arange(len(rank))
+            i = np.nonzero(live & (order == _least_around(order, self.longest)))[0]
+            if len(i) * SLOW < live.sum():
+                break
+            sym[i], end[i] = made[i], end[i + 1]
+            stay = np.ones(len(sym), bool)
+            stay[i + 1] = False
+            sym, left, end, owner, made, rank = (x[stay] for x in (sym, left, end, owner, made, rank))
+            i -= np.arange(len(i))
+            i = np.unique(np.concatenate([i, i[i > 0] - 1]))
+            offer(i[i < len(sym) - 1])
+        where = np.searchsorted(owner, np.arange(len(units) + 1))
+        for w in np.unique(owner[rank < NONE]).tolist():
+            a, b = where[w], where[w + 1] - 1
+            sym[a:b] = self._heap(sym[a:b].tolist(), left[a:b].tolist(), int(end[b - 1]), int(keys[w]), limit)
+        pools, first, count, size = [], np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), 0
+        for w, unit in enumerate(units):
+            s = sym[where[w] : where[w + 1] - 1]
+            odd = (s == -1) | (s >= len(self.raw))
+            ids = np.array(self._ids([unit[k] for k in left[where[w] : where[w + 1] - 1].tolist()], s.tolist()), np.int32) if odd.any() else s[s >= 0]
+            pools.append(ids)
+            first[w], count[w] = size, len(ids)
+            size += len(ids)
+        return np.concatenate(pools), first, count
+
+    def _heap(self, sym: list[int], left: list[int], size: int, key: int, limit: int) -> list[int]:
+        """Merge the symbols of one word, which start at `left`, through an agenda; -3 where one is merged into another."""
+        n = len(sym)
+        left = [*left, size]
         nxt, prv, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
-        keys = np.array([key], np.uint64)
 
         def offer(a: int) -> None:
             b = nxt[a] if a >= 0 else n
             if b < n and sym[a] >= 0 and sym[b] >= 0:
                 p = self.merge.get(sym[a] * self.width + sym[b])
-                if p is not None and not (limit and self._drops(keys, np.array([a]), np.array([nxt[b]]), np.array([p], np.int32), limit)[0]):
-                    heapq.heappush(heap, (int(self.rank[p]), a, nxt[b], p, sym[a], sym[b]))
+                if p is not None:
+                    place = (left[a] << 42 ^ left[nxt[b]] << 20 ^ p) & MASK
+                    if not limit or _mixed_one(key ^ _mixed_one(place, 7), 8) >> 11 >= limit:
+                        heapq.heappush(heap, (int(self.rank[p]), a, nxt[b], p, sym[a], sym[b]))
 
         for a in range(n - 1):
             offer(a)
@@ -207,40 +302,35 @@ class Coder:
                 prv[nxt[b]] = a
             offer(a)
             offer(prv[a])
-        return self._ids(unit, sym)
+        return sym
 
     def encode(self, texts: list[str | None], keys: list[int], rate: float = RATE) -> list[np.ndarray]:
         """The ids of each text's pieces; keys: a 64-bit number for each text."""
-        short, owner, longs, plans = [], [], [], []
+        units, owner, plans = [], [], []
         for text, key in zip(texts, keys, strict=True):
-            units = UNIT.findall(SPACE + text.replace(SPACE, OWN_MARK).replace(" ", SPACE)) if text else []
-            own = mixed(np.arange(len(units), dtype=np.uint64) + np.uint64(key), 9)
-            if rate and max(map(len, units), default=0) <= LONG:
-                plans.append(np.arange(len(short), len(short) + len(units)))
-                short += units
-                owner.append(own)
-                continue
-            # Without dropout all occurrences of a word are alike.
-            seen: dict[str, int] = {}
-            plan = np.empty(len(units), np.int64)
-            for i, u in enumerate(units):
-                if not rate and u in seen:
-                    plan[i] = seen[u]
-                elif len(u) > LONG:
-                    plan[i] = seen[u] = -1 - len(longs)
-                    longs.append(self.long(u, int(own[i]), rate))
-                else:
-                    plan[i] = seen[u] = len(short)
-                    short.append(u)
-                    owner.append(own[i : i + 1])
-            plans.append(plan)
-        none = np.empty(0, np.int64)
-        pool, first, count = self.short(short, np.concatenate(owner), rate) if short else (np.empty(0, np.int32), none, none)
-        # The long words' ids stand behind the others, in reverse so that -1 is the first of them.
-        n = [len(x) for x in reversed(longs)]
-        first = np.concatenate([first, len(pool) + np.cumsum([0, *n])[:-1]]).astype(np.int64)
-        count = np.concatenate([count, n]).astype(np.int64)
-        pool = np.concatenate([pool, *[np.array(x, np.int32) for x in reversed(longs)]])
+            own_units = self._units(text)
+            own = mixed(np.arange(len(own_units), dtype=np.uint64) + np.uint64(key), 9)
+            if not rate:  # all occurrences of a word are alike
+                seen = {u: i for i, u in reversed([*enumerate(own_units)])}
+                first = sorted(seen.values())
+                number = {own_units[i]: k for k, i in enumerate(first)}
+                plans.append(len(units) + np.array([number[u] for u in own_units], np.int64))
+                own_units, own = [own_units[i] for i in first], own[first]
+            else:
+                plans.append(np.arange(len(units), len(units) + len(own_units)))
+            units += own_units
+            owner.append(own)
+        own = np.concatenate(owner) if owner else np.empty(0, np.uint64)
+        is_long = np.fromiter((len(u) > LONG for u in units), bool, len(units))
+        pool, first, count, size = [np.empty(0, np.int32)], np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), 0
+        for some, encode in ((~is_long, self.short), (is_long, self.long)):
+            at = np.nonzero(some)[0]
+            if len(at):
+                ids, start, n = encode([units[i] for i in at.tolist()] if is_long.any() else units, own[at], rate)
+                pool.append(ids)
+                first[at], count[at] = start + size, n
+                size += len(ids)
+        pool = np.concatenate(pool)
         out = []
         for plan in plans:
             k = count[plan]
@@ -259,16 +349,14 @@ def key_of(doc_id: object, seed: int, copy: int = 0) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{copy}:{doc_id}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def _coded(docs: DataFrame, shape: T.StructType, path: str, rate: float, seed: int, digest: bool) -> DataFrame:
+def _coded(docs: DataFrame, shape: T.StructType, path: str, rate: float, seed: int, digest: bool, copy: str | None = None) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, last, copy = Coder(model.value), object(), 0
+        coder = Coder(model.value)
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), []
-            for d in batch.column(0).to_pylist():
-                last, copy = d, copy + 1 if d == last else 0
-                keys.append(key_of(d, seed, copy))
+            texts = batch.column(1).to_pylist()
+            keys = [key_of(d, seed, c) for d, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             ids = coder.encode(texts, keys, rate)
             arrays = [batch.column(0), pa.array([len(x) for x in ids], pa.int64())]
             if digest:
@@ -280,14 +368,15 @@ def _coded(docs: DataFrame, shape: T.StructType, path: str, rate: float, seed: i
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=shape.fieldNames())
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(rows, shape)
+    number = F.coalesce(F.col(copy).cast("long"), F.lit(0)) if copy else F.lit(0).cast("long")
+    return docs.select("doc_id", F.col("text").cast("string"), number).mapInArrow(rows, shape)
 
 
-def encoded(docs: DataFrame, path: str = MODEL, rate: float = RATE, seed: int = SEED) -> DataFrame:
-    """doc_id, n_pieces, pieces (ids) for each row of docs."""
+def encoded(docs: DataFrame, path: str = MODEL, rate: float = RATE, seed: int = SEED, copy: str | None = None) -> DataFrame:
+    """doc_id, n_pieces, pieces (ids) for each row of docs; copy: a column of numbers, each of which gives segmentations of its own."""
     small_batches(docs.sparkSession, 128)
     shape = T.StructType([docs.schema["doc_id"], T.StructField("n_pieces", T.LongType()), T.StructField("pieces", T.ArrayType(T.IntegerType()))])
-    return _coded(docs, shape, path, rate, seed, digest=False)
+    return _coded(docs, shape, path, rate, seed, digest=False, copy=copy)
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:

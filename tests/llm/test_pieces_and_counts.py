@@ -1,5 +1,6 @@
 import numpy as np
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from corpusloom.llm import counts, pieces
@@ -27,11 +28,55 @@ def test_dropout_is_lossless_repeatable_and_varied(spark):
     assert [coder.decode(x) for x in a] == [t or "" for t in some]
     assert all((x == y).all() for x, y in zip(a, b, strict=True))
     assert sum(len(x) != len(y) or (x != y).any() for x, y in zip(a, c, strict=True)) > len(some) * 0.8
-    # the arrays and the heap make the same merges
+    # a plain agenda makes the same merges
     for t, key, want in zip(some[::9], [pieces.key_of(i, 1) for i in range(len(some))][::9], a[::9], strict=True):
-        units = pieces.UNIT.findall(pieces.SPACE + t.replace(pieces.SPACE, pieces.OWN_MARK).replace(" ", pieces.SPACE)) if t else []
+        units = coder._units(t)
         own = pieces.mixed(np.arange(len(units), dtype=np.uint64) + np.uint64(key), 9).tolist()
-        assert [i for u, k in zip(units, own, strict=True) for i in coder.long(u, k, 0.1)] == want.tolist()
+        assert [i for u, k in zip(units, own, strict=True) for i in plain(coder, u, k, 0.1)] == want.tolist()
+
+
+def plain(coder, unit, key, rate):
+    """One word: again and again the best of all candidates that are not dropped, the leftmost of equal ones."""
+    parts = [(i, i + 1, int(coder.table[ord(c)])) for i, c in enumerate(unit)]
+    while True:
+        best = None
+        for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)):
+            piece = coder.merge.get(x[2] * coder.width + y[2]) if x[2] >= 0 and y[2] >= 0 else None
+            if piece is not None and (best is None or coder.rank[piece] < best[0]):
+                place = np.array([(x[0] << 42) ^ (y[1] << 20) ^ piece], np.uint64)
+                if not rate or int(pieces.mixed(np.uint64(key) ^ pieces.mixed(place, 7), 8)[0]) >> 11 >= int(rate * 2**53):
+                    best = (coder.rank[piece], i, piece)
+        if best is None:
+            return [j for a, _, s in parts for j in ([s] if 0 <= s < len(coder.raw) else coder._bytes(unit[a]))]
+        i = best[1]
+        parts[i : i + 2] = [(parts[i][0], parts[i + 1][1], best[2])]
+
+
+def test_long_words_are_merged_as_short_ones(spark, monkeypatch):
+    coder = pieces.Coder(pieces.read_model())
+    words = ["".join(r.text.split())[:700] for r in table(spark, "/root/testdata/sf0.001", "documents").select("text").limit(12).collect()] + ["x" * 900, "ab" * 300, "日本語😀" * 50, "." * 200, "a\ud7ffb" * 40]
+    for rate in (0.0, 0.1, 0.5):
+        keys = pieces.mixed(np.arange(len(words), dtype=np.uint64), 3)
+        for rounds in (400, 3):  # the heap takes over early
+            monkeypatch.setattr(pieces, "ROUNDS", rounds)
+            pool, first, count = coder.long(words, keys, rate)
+            for w, k, a, n in zip(words[:: 1 if rounds == 400 else 3], keys[:: 1 if rounds == 400 else 3].tolist(), first[:: 1 if rounds == 400 else 3], count[:: 1 if rounds == 400 else 3], strict=True):
+                assert pool[a : a + n].tolist() == plain(coder, w, k, rate)
+
+
+def test_one_long_word_leaves_the_others_as_they_are():
+    coder = pieces.Coder(pieces.read_model())
+    text = "some words and some more words"
+    (alone,), (beside,) = coder.encode([text], [3], 0.3), coder.encode([text + " " + "y" * 500], [3], 0.3)
+    assert beside[: len(alone)].tolist() == alone.tolist()
+
+
+def test_line_ends_part_words_as_spaces_do():
+    coder = pieces.Coder(pieces.read_model())
+    text = "\n".join(["several", "words", "without", "spaces"] * 2000)
+    assert max(map(len, coder._units(text))) < 20
+    (ids,) = coder.encode([text], [1], 0.1)
+    assert coder.decode(ids) == text
 
 
 def test_each_occurrence_and_each_copy_is_segmented_in_its_own_way(spark):
@@ -39,9 +84,12 @@ def test_each_occurrence_and_each_copy_is_segmented_in_its_own_way(spark):
     (ids,) = coder.encode(["internationalization " * 200], [5], 0.3)
     lengths = {len(x) for x in coder.encode(["internationalization"] * 50, list(range(50)), 0.3)}
     assert len(lengths) > 1 and len(ids) % 200  # equal segmentations would make a multiple
-    docs = spark.createDataFrame([(7, "some words that are segmented " * 5)] * 2, "doc_id long, text string").coalesce(1)
-    found = pieces.encoded(docs, rate=0.3).collect()
-    assert found[0].pieces != found[1].pieces and {r.text for r in pieces.decoded(pieces.encoded(docs, rate=0.3)).collect()} == {docs.first().text}
+    docs = spark.createDataFrame([(7, "some words that are segmented " * 5)] * 6 + [(8, "some others")], "doc_id long, text string")
+    sets = [{(r.doc_id, tuple(r.pieces)) for r in pieces.encoded(docs.repartition(n), rate=0.3).collect()} for n in (1, 7)]
+    assert sets[0] == sets[1] and len(sets[0]) == 2  # no layout of the rows changes the pieces
+    copies = docs.where("doc_id = 7").withColumn("copy", F.monotonically_increasing_id())
+    assert len({tuple(r.pieces) for r in pieces.encoded(copies, rate=0.3, copy="copy").collect()}) == 6
+    assert {r.text for r in pieces.decoded(pieces.encoded(copies, rate=0.3, copy="copy")).collect()} == {docs.first().text}
 
 
 def test_operators(spark):
