@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import url as U
-from corpusloom.operators import closure, elements, ordering, provenance
+from corpusloom.operators import closure, elements, ordering, provenance, rewriting
 from corpusloom.sources.tables import table, texts
 from corpusloom.sources.trees import new_folder, read_tree, write_tree
 
@@ -176,3 +176,22 @@ def tree_closure_gate(spark, sf_dir):
     write_tree(captured_files(spark, sf_dir).select(named.alias("path"), F.col("text").alias("content")), root)
     files = texts(read_tree(spark, root)).withColumn("path", F.regexp_replace("path", r"\.page$", ""))
     return closure.gate(closure.references(files, extensions=None, attributes=True, root=F.substring_index("path", "/", 1)), files)
+
+
+# --- styles
+
+
+@query(f"""WITH c AS (SELECT url AS key, min(page_id) AS k FROM pages WHERE page_id % 2 = 0 GROUP BY url), o AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS m FROM pages),
+a AS (SELECT page_id, origin, unnest(m) AS h, unnest(range(len(m))) AS i FROM o),
+v AS (SELECT page_id, string_agg('a{{background:' || CASE WHEN page_id % 3 <> 0 THEN 'url("/' || url_encode(ltrim(h, '/')) || '")' WHEN k IS NULL THEN 'url('''')' ELSE 'url("/_external/kept/' || k || '.html")' END || '}}', '' ORDER BY i) AS t FROM a LEFT JOIN c ON c.key = origin || h GROUP BY page_id)
+SELECT o.page_id AS id, coalesce(t, '') || 'b{{background:' || CASE WHEN coalesce(x.k, y.k) IS NULL THEN 'url('''')' ELSE 'url("/_external/kept/' || coalesce(x.k, y.k) || '.html")' END || '}}c{{background:url(data:x)}}' AS text
+FROM o LEFT JOIN v USING (page_id) LEFT JOIN c x ON x.key = o.url LEFT JOIN c y ON y.key = regexp_replace(o.url, '[?#].*$', '')""")
+def rewritten_styles(spark, sf_dir):
+    """Styles that load what a page links to and the page itself, with every URL led to its copy, emptied, or left (every third page's style comes from elsewhere; pages with even ids are kept)."""
+    pages = of_pages(spark, sf_dir)
+    one = lambda u: F.concat(F.lit("a{background:url("), u, F.lit(")}"))
+    anchors = F.transform(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1)), one)
+    text = F.concat(F.array_join(anchors, ""), F.lit("b{background:url('"), F.col("url"), F.lit("')}c{background:url(data:x)}"))
+    styles = pages.select(F.col("page_id").alias("id"), F.lit("site/index.html").alias("page"), F.when(F.col("page_id") % 3 == 0, F.col("url")).alias("source"), text.alias("text"))
+    copies = pages.where("page_id % 2 = 0").groupBy(F.col("url").alias("key")).agg(F.concat(F.lit("kept/"), F.min("page_id").cast("string"), F.lit(".html")).alias("kept_as"))
+    return rewriting.rewritten(styles, rewriting.decided(rewriting.style_urls(styles), copies, "site"))
