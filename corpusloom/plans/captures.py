@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import url as U
-from corpusloom.operators import closure, elements, ordering, provenance, rewriting
+from corpusloom.operators import closure, discovery, elements, ordering, provenance, reports, rewriting
 from corpusloom.sources.tables import table, texts
 from corpusloom.sources.trees import new_folder, read_tree, write_tree
 
@@ -195,3 +195,22 @@ def rewritten_styles(spark, sf_dir):
     styles = pages.select(F.col("page_id").alias("id"), F.lit("site/index.html").alias("page"), F.when(F.col("page_id") % 3 == 0, F.col("url")).alias("source"), text.alias("text"))
     copies = pages.where("page_id % 2 = 0").groupBy(F.col("url").alias("key")).agg(F.concat(F.lit("kept/"), F.min("page_id").cast("string"), F.lit(".html")).alias("kept_as"))
     return rewriting.rewritten(styles, rewriting.decided(rewriting.style_urls(styles), copies, "site"))
+
+
+# --- discovery
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT split_part(ltrim({PATH}, '/'), '/', 1) AS key, html FROM pages), s AS (SELECT DISTINCT key FROM p),
+e AS (SELECT DISTINCT key AS source, ltrim(split_part(split_part(h, '#', 1), '?', 1), '/') AS target FROM (SELECT key, unnest(regexp_extract_all(html, '<a href="(/[^"]*)">', 1)) AS h FROM p)),
+r(key, round) AS (SELECT 'fr', 0 UNION SELECT e.target, r.round + 1 FROM r JOIN s ON s.key = r.key JOIN e ON e.source = r.key WHERE r.round < 5),
+f AS (SELECT key, min(round) AS round FROM r GROUP BY key)
+SELECT CAST(f.round AS INT) AS round, CASE WHEN s.key IS NULL THEN 'missing' ELSE 'fetched' END AS outcome, count(*) AS n FROM f LEFT JOIN s ON s.key = f.key
+WHERE f.round <= (SELECT max(f.round) + 1 FROM f JOIN s ON s.key = f.key) GROUP BY ALL""")
+def discovery_rounds(spark, sf_dir):
+    """What each round of discovery from one section of captured pages on asks for: sections that are there, and others (sections stand for files, anchors for what they load)."""
+    pages = of_pages(spark, sf_dir)
+    files = pages.select(F.regexp_extract(U.path(F.col("url")), "^/([^/]*)", 1).alias("key"), "html")
+    name = lambda h: F.regexp_replace(U.without_query(h), "^/+", "")
+    names = lambda rows: rows.select(F.explode(F.transform(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)">'), F.lit(1)), name)).alias("key"))
+    found = discovery.discover(files, spark.createDataFrame([("fr",)], "key string"), names, new_folder(spark, "rounds"))
+    return reports.per_round(found, "outcome")
