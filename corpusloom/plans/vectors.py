@@ -47,6 +47,22 @@ def values(names: str, rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS v({names})"
 
 
+def with_rows(names: str, rows: list[tuple], sql: str) -> str:
+    """FROM-clause of rows and what a query over the tables gives."""
+    return f"(SELECT {names} FROM {values(names, rows)} UNION ALL {sql})"
+
+
+def by_id(column: str, *cases: str) -> str:
+    """One text or another, by the remainder of an id, in words that both engines read."""
+    return f"CASE {column} % {len(cases)} " + " ".join(f"WHEN {i} THEN {literal(c)}" for i, c in enumerate(cases)) + " END"
+
+
+def rows_of_pages(spark, sf_dir, **columns):
+    """Columns made of page_id, url, html, place (the path without its first slash)."""
+    place = F.regexp_replace(U.path(F.col("url")), "^/", "")
+    return table(spark, sf_dir, "pages").withColumn("place", place).select(*[(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+
+
 def pattern(p: str) -> str:
     return literal(p)
 
@@ -57,18 +73,20 @@ def any_of(column: str, patterns: tuple[str, ...]) -> str:
 
 # --- routes, paths and URLs
 
+URL_PATH = "coalesce(nullif(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^(?i:https?:)?//[^/?#]+(/.*)$', 1), ''), '/')"
+OF_PAGES = f"(SELECT *, regexp_replace({URL_PATH}, '^/', '') AS place FROM pages)"
 ROUTE = "CASE WHEN {0} = 'index.html' THEN '/' WHEN ends_with({0}, '/index.html') THEN '/' || regexp_replace({0}, '/index\\.html$', '') ELSE '/' || regexp_replace({0}, '(?i)\\.html?$', '') END"
 FILES = [("index.html",), ("a/index.html",), ("a.html",), ("a/index.htm",), ("b/c.HTML",), ("d",)]
 
 
-@query(f"SELECT path, {ROUTE.format('path')} AS route FROM {values('path', FILES)}")
+@query(f"SELECT path, {ROUTE.format('path')} AS route FROM {with_rows('path', FILES, f"SELECT place || {by_id('page_id', '.html', '/index.html', '')} FROM {OF_PAGES}")}")
 def routes_of_files(spark, sf_dir):
-    """The route of each captured file."""
-    return spark.createDataFrame(FILES, "path string").select("path", U.route_of_file(F.col("path")).alias("route"))
+    """The route of each captured file (paths of pages, as files)."""
+    files = spark.createDataFrame(FILES, "path string").unionByName(rows_of_pages(spark, sf_dir, path=f"place || {by_id('page_id', '.html', '/index.html', '')}"))
+    return files.select("path", U.route_of_file(F.col("path")).alias("route"))
 
 
 URLS = [("https://fixture.example/about.html?tab=team#bio",), ("https://fixture.example/?#",), ("https://fixture.example",), ("//cdn.example/x/index.html#top",)]
-URL_PATH = "coalesce(nullif(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^(?i:https?:)?//[^/?#]+(/.*)$', 1), ''), '/')"
 
 
 @query(f"""WITH u AS (SELECT url, regexp_replace({URL_PATH}, '^/', '') AS p, regexp_extract(split_part(url, '#', 1), '(\\?.*)$', 1) AS s, regexp_extract(url, '(#.*)$', 1) AS f FROM (SELECT url FROM pages UNION ALL SELECT url FROM {values('url', URLS)}))
@@ -82,10 +100,14 @@ def parts_of_links(spark, sf_dir):
 HREFS = [("../a/./b.css?v=1", "x/y.html", "site", "a/b.css"), ("/img/a%20b+c.png#z", "x/y.html", "site", "site/img/a b+c.png"), ("c.js", "index.html", "", "c.js"), ("../../up.js", "x/y.html", "s", "../up.js")]
 
 
-@query(f"SELECT href, kept FROM {values('href, page, prefix, kept', HREFS)}")
+BESIDE = f"SELECT '../' || page_id || '.css' AS href, CASE WHEN contains(place, '/') THEN regexp_replace(regexp_replace(place, '[^/]*$', ''), '[^/]+/$', '') ELSE '../' END || page_id || '.css' AS kept FROM {OF_PAGES}"
+
+
+@query(f"SELECT href, kept FROM {values('href, page, prefix, kept', HREFS)} UNION ALL {BESIDE}")
 def resolved_links(spark, sf_dir):
     """The files that hrefs of pages name."""
-    return spark.createDataFrame([h[:3] for h in HREFS], "href string, page string, prefix string").select("href", U.resolved(F.col("href"), F.col("page"), F.col("prefix")).alias("kept"))
+    own = spark.createDataFrame([h[:3] for h in HREFS], "href string, page string, prefix string")
+    return own.unionByName(rows_of_pages(spark, sf_dir, href="'../' || page_id || '.css'", page="place", prefix="''")).select("href", U.resolved(F.col("href"), F.col("page"), F.col("prefix")).alias("kept"))
 
 
 STEMS = [("/", "index", "index", "HomePage"), ("/about/team", "about.team", "about.team", "AboutTeamPage"), ("/products/widget/details", "products.widget.details", "products_.widget.details", "ProductsWidgetDetailsPage"), ("/123-tools", "123-tools", "123-tools", "Page123ToolsPage")]
@@ -103,49 +125,60 @@ def route_names(spark, sf_dir):
 KEPT = [("site/img/a b+c.png", "/source/site/img/a%20b%2Bc.png", "/img/a%20b%2Bc.png"), ("site", "/source/site", "/"), ("_fonts/é.woff", "/source/_fonts/%C3%A9.woff", "/_external/_fonts/%C3%A9.woff"), ("./site/x/../y.js", "/source/./site/x/../y.js", "/y.js")]
 
 
-@query(f"SELECT path, source_url, runtime_url FROM {values('path, source_url, runtime_url', KEPT)}")
+ENCODED = "array_to_string(list_transform(list_filter(string_split({0}, '/'), lambda x: x <> ''), lambda x: url_encode(x)), '/')"
+EACH = "array_to_string(list_transform(string_split({0}, '/'), lambda x: url_encode(x)), '/')"
+SERVED = f"SELECT {by_id('page_id', 'site/', '')} || place AS path, '/source/' || {EACH.format(by_id('page_id', 'site/', '') + ' || place')} AS source_url, CASE WHEN page_id % 2 = 0 THEN '/' ELSE '/_external/' END || {ENCODED.format('place')} AS runtime_url FROM {OF_PAGES} WHERE place <> ''"
+
+
+@query(f"SELECT path, source_url, runtime_url FROM {values('path, source_url, runtime_url', KEPT)} UNION ALL {SERVED}")
 def public_urls(spark, sf_dir):
     """URLs that captured files are served by."""
-    return spark.createDataFrame([k[:1] for k in KEPT], "path string").select("path", U.public_url(F.col("path")).alias("source_url"), U.runtime_url(F.col("path"), "site").alias("runtime_url"))
+    own = spark.createDataFrame([k[:1] for k in KEPT], "path string")
+    return own.unionByName(rows_of_pages(spark, sf_dir, path=f"CASE WHEN place <> '' THEN {by_id('page_id', 'site/', '')} || place END").where("path IS NOT NULL")).select("path", U.public_url(F.col("path")).alias("source_url"), U.runtime_url(F.col("path"), "site").alias("runtime_url"))
 
 
 SLUGS = [("https://Shop.Example.com:8080/x", "shop.example.com"), ("https://a_b.example/", "a-b.example"), ("/nowhere", "site")]
 
 
-@query(f"SELECT url, slug, '20240130-235959' AS stamp FROM {values('url, slug', SLUGS)}")
+SLUG = "regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '[^a-z0-9.-]+', '-', 'g'), '^-|-$', '', 'g')"
+
+
+@query(f"SELECT url, slug, '20240130-235959' AS stamp FROM {values('url, slug', SLUGS)} UNION ALL SELECT url, {SLUG}, '20240130-235959' FROM pages")
 def run_names(spark, sf_dir):
     """Slugs of hosts and the stamp of a run."""
     at = F.lit("2024-01-30T23:59:59").cast("timestamp_ntz")
-    return spark.createDataFrame([s[:1] for s in SLUGS], "url string").select("url", U.host_slug(F.col("url")).alias("slug"), U.run_stamp(at).alias("stamp"))
+    urls = spark.createDataFrame([s[:1] for s in SLUGS], "url string").unionByName(table(spark, sf_dir, "pages").select("url"))
+    return urls.select("url", U.host_slug(F.col("url")).alias("slug"), U.run_stamp(at).alias("stamp"))
 
 
 PUBLIC = [("~/assets/a%20b.js?x=1#y",), ("//assets/c+d.js",), ("~~e%zz.js",), (None,)]
 
 
 @query(f"""SELECT raw, CASE WHEN regexp_matches(p, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f])') THEN p ELSE url_decode(p) END AS path FROM
-(SELECT raw, regexp_replace(regexp_replace(split_part(split_part(coalesce(raw, ''), '#', 1), '?', 1), '^~+', ''), '^/+', '') AS p FROM {values('raw', PUBLIC)})""")
+(SELECT raw, regexp_replace(regexp_replace(split_part(split_part(coalesce(raw, ''), '#', 1), '?', 1), '^~+', ''), '^/+', '') AS p FROM {with_rows('raw', PUBLIC, f"SELECT '~~//' || place || '?x=1' FROM {OF_PAGES}")})""")
 def public_paths(spark, sf_dir):
     """References as paths of public files."""
-    return spark.createDataFrame(PUBLIC, "raw string").select("raw", U.public_path(F.col("raw")).alias("path"))
+    return spark.createDataFrame(PUBLIC, "raw string").unionByName(rows_of_pages(spark, sf_dir, raw="'~~//' || place || '?x=1'")).select("raw", U.public_path(F.col("raw")).alias("path"))
 
 
 OFFLINE = [("https://api.example/v1/users/*",), ("https://api.example/v1/users/",), ("//CDN.example/a.js?x=*",), ("https://api.example",)]
 
 
 @query(f"""SELECT url, '/__offline__/' || lower(regexp_extract(c, '^(?i:https?:)?//([^/?#]+)', 1)) || regexp_replace(c, '^(?i:https?:)?//[^/?#]*', '') AS offline, regexp_replace(c, '^(?i:https?:)?//[^/?#]*', '') AS local
-FROM (SELECT url, split_part(url, '*', 1) AS c FROM {values('url', OFFLINE)})""")
+FROM (SELECT url, split_part(url, '*', 1) AS c FROM {with_rows('url', OFFLINE, f"SELECT url || {by_id('page_id', '*', '')} FROM pages")})""")
 def offline_paths(spark, sf_dir):
     """Where calls to other hosts go in a copy without network."""
-    return spark.createDataFrame(OFFLINE, "url string").select("url", U.offline_path(F.col("url")).alias("offline"), U.local_path(F.col("url")).alias("local"))
+    return spark.createDataFrame(OFFLINE, "url string").unionByName(rows_of_pages(spark, sf_dir, url=f"url || {by_id('page_id', '*', '')}")).select("url", U.offline_path(F.col("url")).alias("offline"), U.local_path(F.col("url")).alias("local"))
 
 
 VISITS = [("http://localhost:4173", "/about"), ("http://localhost:4173/base/", "team"), ("http://localhost:4173/base", "/")]
 
 
-@query(f"SELECT base, route, regexp_replace(base, '/$', '') || '/' || regexp_replace(route, '^/', '') AS url FROM {values('base, route', VISITS)}")
+@query(f"SELECT base, route, regexp_replace(base, '/$', '') || '/' || regexp_replace(route, '^/', '') AS url FROM {with_rows('base, route', VISITS, f"SELECT regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || {by_id('page_id', '/', '')}, '/' || place FROM {OF_PAGES}")}")
 def route_urls(spark, sf_dir):
     """The URL of each route below a base."""
-    return spark.createDataFrame(VISITS, "base string, route string").select("base", "route", U.route_url(F.col("base"), F.col("route")).alias("url"))
+    visits = rows_of_pages(spark, sf_dir, base=f"regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || {by_id('page_id', '/', '')}", route="'/' || place")
+    return spark.createDataFrame(VISITS, "base string, route string").unionByName(visits).select("base", "route", U.route_url(F.col("base"), F.col("route")).alias("url"))
 
 
 SITE = "https://fixture.example/"
@@ -176,10 +209,11 @@ def fetch_candidates(spark, sf_dir):
 PLACES = [("/work/site", "/work/site"), ("/work/site", "/work/site/a/b"), ("/work/site", "/work/site2"), ("/work/site", "/work")]
 
 
-@query(f"SELECT root, path, path = root OR starts_with(path, root || '/') AS inside FROM {values('root, path', PLACES)}")
+@query(f"SELECT root, path, path = root OR starts_with(path, root || '/') AS inside FROM {with_rows('root, path', PLACES, f"SELECT '/' || {by_id('page_id', 'en', 'fr', 'f')}, '/' || place FROM {OF_PAGES}")}")
 def contained_paths(spark, sf_dir):
     """Whether paths lie within a root."""
-    return spark.createDataFrame(PLACES, "root string, path string").select("root", "path", U.within(F.col("root"), F.col("path")).alias("inside"))
+    more = rows_of_pages(spark, sf_dir, root=f"'/' || {by_id('page_id', 'en', 'fr', 'f')}", path="'/' || place")
+    return spark.createDataFrame(PLACES, "root string, path string").unionByName(more).select("root", "path", U.within(F.col("root"), F.col("path")).alias("inside"))
 
 
 NAMED = [("http://www.w3.org/2000/svg",), ("https://react.dev/errors/31",), ("http://127.0.0.1:4173/x",), ("https://api.example/v1",)]
@@ -194,28 +228,30 @@ def inert_urls(spark, sf_dir):
 
 # --- classes
 
+ENDINGS = by_id("page_id", "/LICENSE", "/brand/x.svg", "/vendor/y.js", "/data.JSON", "", "/license.d/z")
 PATHS = [("LICENSE",), ("lib/copying.txt",), ("vendors/x.license.js",), ("assets/logo/a.svg",), ("vendor/three.js",), ("js/App.MJS",), ("a/b",), ("noticeboard.html",)]
 LICENSE = "(regexp_matches(path, '(?i)(^|/)(license|copying|notice)(\\.[^/]*)?$') OR regexp_matches(path, '(?i)\\.license(\\.|$)'))"
 STATUS = "CASE WHEN regexp_matches(path, '(?i)(^|/)(brand|brands|logo|logos|trademark)(/|$)') THEN 'restricted' WHEN regexp_matches(path, '(?i)(^|/)(vendor|vendors|third-party)(/|$)') THEN 'covered' ELSE 'unverified' END"
 
 
-@query(f"SELECT path, {LICENSE} AS license, {STATUS} AS status, coalesce(lower(nullif(regexp_extract(path, '[^/.](\\.[^/.]*)$', 1), '')) IN ('.css', '.js', '.mjs', '.json', '.svg'), false) AS text_asset FROM {values('path', PATHS)}")
+@query(f"SELECT path, {LICENSE} AS license, {STATUS} AS status, coalesce(lower(nullif(regexp_extract(path, '[^/.](\\.[^/.]*)$', 1), '')) IN ('.css', '.js', '.mjs', '.json', '.svg'), false) AS text_asset FROM {with_rows('path', PATHS, f"SELECT place || {ENDINGS} FROM {OF_PAGES}")}")
 def path_classes(spark, sf_dir):
     """License files, what an authorization says of a path, text assets."""
     p = F.col("path")
-    return spark.createDataFrame(PATHS, "path string").select("path", C.license_file(p).alias("license"), C.authorization(p, F.lit(True)).alias("status"), C.text_asset(p).alias("text_asset"))
+    return spark.createDataFrame(PATHS, "path string").unionByName(rows_of_pages(spark, sf_dir, path=f"place || {ENDINGS}")).select("path", C.license_file(p).alias("license"), C.authorization(p, F.lit(True)).alias("status"), C.text_asset(p).alias("text_asset"))
 
 
+NAMES_OF_SCRIPTS, KINDS_OF_SCRIPTS = by_id("page_id", "/main-abc.js", "/draco.js.bak", "/x.mjs", "/app.123.js.old", ".js"), by_id("page_id", "module", "", "text/javascript; v", "application/json")
 SCRIPTS = [("/assets/main-CJJ9sJBo.js", "module"), ("/assets/js/app.1782836328290.js", ""), ("/assets/js/app.1782836328290.js.reconstructed", "text/javascript; x"), ("/vendor/draco_decoder.js", ""), ("/x/other.mjs", "module"), ("/x/other.js", "application/json")]
 BARE = "regexp_replace(lower(src), '(\\.m?js)(\\.(reconstructed|disabled|backup|bak|old|orig|txt))+$', '\\1')"
 
 
 @query(f"""SELECT src, CASE WHEN regexp_matches(p, 'draco|basis|stats|vendor/') THEN 'vendor-runtime' WHEN regexp_matches(p, '/(main|app|index)([-.][a-z0-9_-]+)*\\.m?js$') THEN 'business-bootstrap'
 WHEN type = 'module' AND regexp_matches(p, '\\.m?js$') THEN 'unknown-module' ELSE 'unknown-script' END AS class, lower(trim(split_part(type, ';', 1))) IN ('', 'module', 'text/javascript', 'application/javascript', 'text/ecmascript', 'application/ecmascript') AS runs
-FROM (SELECT src, type, {BARE} AS p FROM {values('src, type', SCRIPTS)})""")
+FROM (SELECT src, type, {BARE} AS p FROM {with_rows('src, type', SCRIPTS, f"SELECT '/' || place || {NAMES_OF_SCRIPTS}, {KINDS_OF_SCRIPTS} FROM {OF_PAGES}")})""")
 def script_classes(spark, sf_dir):
     """Classes of scripts that pages load, and which types run."""
-    rows = spark.createDataFrame(SCRIPTS, "src string, type string")
+    rows = spark.createDataFrame(SCRIPTS, "src string, type string").unionByName(rows_of_pages(spark, sf_dir, src=f"'/' || place || {NAMES_OF_SCRIPTS}", type=KINDS_OF_SCRIPTS))
     return rows.select("src", C.script_class(F.col("src"), F.col("type")).alias("class"), C.executable_type(F.col("type")).alias("runs"))
 
 
@@ -271,17 +307,19 @@ def evident_families(spark, sf_dir):
 EDITS = [("reports/conversion-manifest.json",), ("reports/repair.json",), ("src/app.jsx",)]
 
 
-@query(f"SELECT path FROM {values('path', EDITS)} WHERE path NOT IN ('reports/repair.json')")
+@query(f"SELECT path FROM {with_rows('path', EDITS, "SELECT 'reports/' || event_type || '.json' FROM events")} WHERE path NOT IN ('reports/repair.json', 'reports/click.json')")
 def forbidden_report_edits(spark, sf_dir):
     """Edited reports that none may edit."""
-    return inventory.forbidden_edits(spark.createDataFrame(EDITS, "path string"), ("reports/repair.json",))
+    edits = table(spark, sf_dir, "events").select(F.concat(F.lit("reports/"), "event_type", F.lit(".json")).alias("path"))
+    return inventory.forbidden_edits(spark.createDataFrame(EDITS, "path string").unionByName(edits), ("reports/repair.json", "reports/click.json"))
 
 
-@query("SELECT id, redacted FROM (VALUES (0, '__REDACTED_JWT__ x'), (1, 'a __REDACTED_OPENAI_KEY__'), (2, 'AAAA//8EAAQ')) AS v(id, redacted)")
+@query("SELECT id, redacted FROM (VALUES (0, '__REDACTED_JWT__ x'), (1, 'a __REDACTED_OPENAI_KEY__'), (2, 'AAAA//8EAAQ')) AS v(id, redacted) UNION ALL SELECT 10 + doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'ey' || 'J[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}', '__REDACTED_JWT__', 'g'), 'sk' || '-[A-Za-z0-9_-]{20,}', '__REDACTED_OPENAI_KEY__', 'g'), 'sk' || '_(live|test)_[A-Za-z0-9]{16,}', '__REDACTED_STRIPE_SECRET__', 'g'), 'AI' || 'za[A-Za-z0-9_-]{20,}', '__REDACTED_GOOGLE_API_KEY__', 'g') FROM documents")
 def redactions(spark, sf_dir):
     """Texts without their credentials (made of parts, so that no scanner takes them for real ones)."""
     rows = [(0, "eyJ" + "hbGciOiJIUzI1" + "." + "eyJzdWIiOiIx" + "." + "c2lnbmF0dXJl" + " x"), (1, "a sk" + "-" + "a" * 24), (2, "AAAA//8EAAQ")]
-    return spark.createDataFrame(rows, "id int, body string").select("id", X.redacted(F.col("body")).alias("redacted"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 10).alias("id"), F.col("text").alias("body"))
+    return spark.createDataFrame(rows, "id long, body string").unionByName(docs).select("id", X.redacted(F.col("body")).alias("redacted"))
 
 
 # --- references, sinks and behavior
@@ -351,10 +389,11 @@ def remote_urls(spark, sf_dir):
     return rows.select("id", F.explode(S.remote_urls(F.col("body"))).alias("url"))
 
 
-@query(f"SELECT id, kind, raw FROM ({' UNION ALL '.join(f'SELECT id, {literal(k)} AS kind, unnest(regexp_extract_all(body, {pattern(p)}, 1)) AS raw FROM {values('id, path, body', REACHES)}' for k, p in S.LIKELY.items())}) WHERE NOT contains(raw, 'google-analytics.com')")
+@query(f"SELECT id, kind, raw FROM ({' UNION ALL '.join(f'SELECT id, {literal(k)} AS kind, unnest(regexp_extract_all(body, {pattern(p)}, 1)) AS raw FROM {values('id, path, body', REACHES)}' for k, p in S.LIKELY.items())}) WHERE NOT contains(raw, 'google-analytics.com') UNION ALL SELECT 10 + page_id, k, url FROM pages, (VALUES ('fetch'), ('attribute')) AS k(k) WHERE regexp_matches(url, '^https?://')")
 def likely_external_loads(spark, sf_dir):
     """Places where scripts likely load from elsewhere, trackers left out."""
-    rows = spark.createDataFrame(REACHES, "id long, path string, body string")
+    of_pages = rows_of_pages(spark, sf_dir, id="10 + page_id", path="place", body="concat('fetch(\\'', url, '\\'); x.src = \\'', url, '\\'')")
+    rows = spark.createDataFrame(REACHES, "id long, path string, body string").unionByName(of_pages)
     return rows.select("id", F.explode(S.likely_externals(F.col("body"))).alias("m")).select("id", "m.*")
 
 
@@ -404,26 +443,33 @@ def cleaned_styles(spark, sf_dir):
 SETS = [(1, "a.png 1x,  b.png 2x", "a.png,b.png"), (2, "c.png", "c.png"), (3, " , d.png 300w", "d.png")]
 
 
-@query(f"SELECT id, urls FROM {values('id, srcset, urls', SETS)}")
+@query(f"SELECT id, urls FROM {values('id, srcset, urls', SETS)} UNION ALL SELECT 10 + page_id, url || ',' || url || '2' FROM pages")
 def srcset_candidates(spark, sf_dir):
     """The URLs of srcset attributes."""
-    return spark.createDataFrame([s[:2] for s in SETS], "id int, srcset string").select("id", F.array_join(S.srcset_urls(F.col("srcset")), ",").alias("urls"))
+    own = spark.createDataFrame([s[:2] for s in SETS], "id long, srcset string")
+    return own.unionByName(rows_of_pages(spark, sf_dir, id="10 + page_id", srcset="url || ' 1x,  ' || url || '2 300w'")).select("id", F.array_join(S.srcset_urls(F.col("srcset")), ",").alias("urls"))
 
 
 MARKUP = [(1, "<link rel='stylesheet icon' href='a.css?x=1&amp;y=2'><link rel=next href=no><script src=b.js></script><img data-src=c.png srcset='d.png 1x, e.png 2x'><p style='background:url(f.png)'>T&amp;x</p>")]
 NAMES = [(1, "link", "href", "a.css?x=1&y=2"), (1, "script", "src", "b.js"), (1, "img", "data-src", "c.png"), (1, "img", "srcset", "d.png"), (1, "img", "srcset", "e.png"), (1, "p", "style", "f.png")]
 
 
-@query(f"SELECT id, tag, attribute, raw FROM {values('id, tag, attribute, raw', NAMES)}")
+@query(f"SELECT id, tag, attribute, raw FROM {values('id, tag, attribute, raw', NAMES)} UNION ALL SELECT 10 + page_id, t, a, split_part(url, '?', 1) || e FROM pages, (VALUES ('img', 'src', ''), ('div', 'style', '2'), ('img', 'srcset', '3')) AS v(t, a, e)")
 def markup_assets(spark, sf_dir):
     """Assets that markup names."""
-    return spark.createDataFrame(MARKUP, "id int, html string").select("id", F.explode(H.asset_references(F.col("html"))).alias("a")).select("id", "a.*")
+    u = "split(url, '[?]')[0]"
+    of_pages = rows_of_pages(spark, sf_dir, id="10 + page_id", html=f"concat('<a href=x><img src=\"', {u}, '\"><div style=\"b:url(', {u}, '2)\"><img srcset=\"', {u}, '3 2x\">')")
+    return spark.createDataFrame(MARKUP, "id long, html string").unionByName(of_pages).select("id", F.explode(H.asset_references(F.col("html"))).alias("a")).select("id", "a.*")
+
+
+SHOWN = "replace(replace(replace(replace(replace(regexp_replace(replace(html, '\"</p>\"', chr(1)), '<[^>]*>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(1), '\"</p>\"')"
 
 
-@query("SELECT 1 AS id, 'T&x' AS body UNION ALL SELECT 2, 'ab'")
+@query(f"SELECT 1 AS id, 'T&x' AS body UNION ALL SELECT 2, 'ab' UNION ALL SELECT 10 + page_id, {SHOWN} FROM pages")
 def markup_text(spark, sf_dir):
     """The text of markup, entities decoded."""
-    return spark.createDataFrame([*MARKUP, (2, "a<br>b")], "id int, html string").select("id", H.text_content(F.col("html")).alias("body"))
+    own = spark.createDataFrame([*MARKUP, (2, "a<br>b")], "id long, html string")
+    return own.unionByName(rows_of_pages(spark, sf_dir, id="10 + page_id", html="html")).select("id", H.text_content(F.col("html")).alias("body"))
 
 
 # --- lookups, sums and choices of reports
@@ -457,15 +503,18 @@ def run_grid(spark, sf_dir):
     return lookups.grid(d.select(F.col("lang").alias("environment")), e.select(F.col("event_type").alias("scenario")), ran)
 
 
+KEPT_PAGES = "SELECT split_part(split_part(url, '#', 1), '?', 1), 'p' || min(page_id) FROM pages WHERE page_id % 3 > 0 GROUP BY 1"
 COPIES = [("https://a.example/x.js?v=1", "x.q1.js"), ("https://a.example/x.js", "x.js")]
 ASKED = [("https://a.example/x.js?v=1",), ("https://a.example/x.js?v=2",), ("https://a.example/y.js",)]
 
 
-@query(f"SELECT u.url, coalesce(a.kept, b.kept) AS kept_as FROM {values('url', ASKED).replace('v(', 'u(')} LEFT JOIN {values('url, kept', COPIES).replace('v(', 'a(')} ON a.url = u.url LEFT JOIN {values('url, kept', COPIES).replace('v(', 'b(')} ON b.url = split_part(u.url, '?', 1)")
+@query(f"SELECT u.url, coalesce(a.kept, b.kept) AS kept_as FROM {with_rows('url', ASKED, 'SELECT url FROM pages')} u LEFT JOIN {with_rows('url, kept', COPIES, KEPT_PAGES)} a ON a.url = u.url LEFT JOIN {with_rows('url, kept', COPIES, KEPT_PAGES)} b ON b.url = split_part(split_part(u.url, '#', 1), '?', 1)")
 def local_copies(spark, sf_dir):
     """Copies of remote files, by the whole URL, else by the one without its query."""
-    copies = spark.createDataFrame(COPIES, "key string, kept_as string")
-    return lookups.local_copies(spark.createDataFrame(ASKED, "url string"), copies, U.without_query(F.col("url")))
+    pages = table(spark, sf_dir, "pages")
+    kept = pages.where("page_id % 3 > 0").groupBy(U.without_query(F.col("url")).alias("key")).agg(F.concat(F.lit("p"), F.min("page_id").cast("string")).alias("kept_as"))
+    copies = spark.createDataFrame(COPIES, "key string, kept_as string").unionByName(kept)
+    return lookups.local_copies(spark.createDataFrame(ASKED, "url string").unionByName(pages.select("url")), copies, U.without_query(F.col("url")))
 
 
 @query(f"""WITH p AS (SELECT min(page_id) AS page, regexp_extract({URL_PATH}, '^/([^/]*)', 1) AS route FROM pages GROUP BY route)
@@ -498,13 +547,14 @@ def round_counts(spark, sf_dir):
     return reports.per_round(table(spark, sf_dir, "events").withColumnRenamed("user_id", "round"), "event_type")
 
 
+PAGE_INDEX = by_id("page_id", "a.example/", "b.example/", "a.example_") + " || place || '/index.html'"
 INDEXES = [("a.example_2/index.html",), ("a.example/deep/index.html",), ("other/index.html",), ("a.example/b/index.html",)]
 
 
-@query(f"SELECT path FROM {values('path', INDEXES)} ORDER BY CASE WHEN path = 'a.example/index.html' THEN 0 WHEN starts_with(path, 'a.example/') THEN 1 WHEN starts_with(path, 'a.example_') THEN 2 ELSE 3 END, len(string_split(path, '/')), length(path), path LIMIT 1")
+@query(f"SELECT path FROM {with_rows('path', INDEXES, f'SELECT {PAGE_INDEX} FROM {OF_PAGES}')} ORDER BY CASE WHEN path = 'a.example/index.html' THEN 0 WHEN starts_with(path, 'a.example/') THEN 1 WHEN starts_with(path, 'a.example_') THEN 2 ELSE 3 END, len(string_split(path, '/')), length(path), path LIMIT 1")
 def best_index(spark, sf_dir):
     """The index file that a capture begins with."""
-    return reports.best_index(spark.createDataFrame(INDEXES, "path string"), "a.example")
+    return reports.best_index(spark.createDataFrame(INDEXES, "path string").unionByName(rows_of_pages(spark, sf_dir, path=PAGE_INDEX)), "a.example")
 
 
 @query("SELECT doc_id, source || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END AS \"unique\" FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
@@ -516,17 +566,19 @@ def unique_names(spark, sf_dir):
 FINDINGS = [(1, "BUILD", ["code", "stdout", "at"], ["x", "noise", "1"]), (2, "BUILD", ["at", "code"], ["2", "x"]), (3, "PROOF", ["code"], ["x"]), (4, "BUILD", ["code"], ["y"])]
 
 
-@query(f"""SELECT id, sha256(stage || chr(10) || (SELECT string_agg(k || '=' || v, chr(10) ORDER BY k) FROM (SELECT unnest(ks) AS k, unnest(vs) AS v) WHERE k NOT IN ('stdout', 'stderr', 'recordedAt', 'at', 'durationMs'))) AS signature FROM {values('id, stage, ks, vs', FINDINGS)}""")
+@query(f"""SELECT id, sha256(stage || chr(10) || (SELECT string_agg(k || '=' || v, chr(10) ORDER BY k) FROM (SELECT unnest(ks) AS k, unnest(vs) AS v) WHERE k NOT IN ('stdout', 'stderr', 'recordedAt', 'at', 'durationMs'))) AS signature FROM {values('id, stage, ks, vs', FINDINGS)} UNION ALL SELECT 10 + event_id, sha256('RUN' || chr(10) || 'code=' || event_type) FROM events""")
 def failure_signatures(spark, sf_dir):
     """Signatures of failures, the same for runs that differ in times and output only."""
-    rows = spark.createDataFrame(FINDINGS, "id int, stage string, ks array<string>, vs array<string>")
+    events = table(spark, sf_dir, "events").select((F.col("event_id") + 10).alias("id"), F.lit("RUN").alias("stage"), F.array(F.lit("durationMs"), F.lit("code"), F.lit("at")).alias("ks"), F.array(F.col("value").cast("string"), "event_type", F.col("ts").cast("string")).alias("vs"))
+    rows = spark.createDataFrame(FINDINGS, "id long, stage string, ks array<string>, vs array<string>").unionByName(events)
     return rows.select("id", reports.failure_signature(F.col("stage"), F.map_from_arrays("ks", "vs")).alias("signature"))
 
 
-@query("SELECT 1 AS id, 'delay=5,retries=2,width=800' AS options UNION ALL SELECT 2, 'delay=1,retries=3,width=800'")
+@query("SELECT 1 AS id, 'delay=5,retries=2,width=800' AS options UNION ALL SELECT 2, 'delay=1,retries=3,width=800' UNION ALL SELECT 10 + event_id, 'at=' || user_id || ',delay=' || event_type || ',retries=3,width=800' FROM events")
 def merged_options(spark, sf_dir):
     """Options of scenarios over their defaults."""
-    rows = spark.createDataFrame([(1, {"delay": "5", "retries": "2"}), (2, {})], "id int, given map<string,string>")
+    rows = spark.createDataFrame([(1, {"delay": "5", "retries": "2"}), (2, {})], "id long, given map<string,string>")
+    rows = rows.unionByName(table(spark, sf_dir, "events").select((F.col("event_id") + 10).alias("id"), F.create_map(F.lit("delay"), "event_type", F.lit("at"), F.col("user_id").cast("string")).alias("given")))
     defaults = F.create_map(*[F.lit(x) for x in ("delay", "1", "retries", "3", "width", "800")])
     entries = F.array_sort(F.map_entries(reports.merged(defaults, F.col("given"))))
     return rows.select("id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("options"))
@@ -551,10 +603,14 @@ def bracketed_actions(spark, sf_dir):
 SEEDS = [("", 2166136261), ("a", (2166136261 ^ 97) * 16777619 % 2**32), ("ab", (((2166136261 ^ 97) * 16777619 % 2**32) ^ 98) * 16777619 % 2**32)]
 
 
-@query(f"SELECT key, CAST(seed AS BIGINT) AS seed FROM {values('key, seed', SEEDS)}")
+STEP = "list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(key, ''), lambda c: ascii(c)::HUGEINT)), lambda a, c: (xor(a, c) * 16777619) % 4294967296)"
+
+
+@query(f"SELECT key, CAST(seed AS BIGINT) AS seed FROM {values('key, seed', SEEDS)} UNION ALL SELECT key, CAST({STEP} AS BIGINT) FROM (SELECT source || '/' || doc_id AS key FROM documents)")
 def proof_seeds(spark, sf_dir):
     """32-bit seeds of keys."""
-    return spark.createDataFrame([s[:1] for s in SEEDS], "key string").select("key", comparison.seed_of(2166136261, F.col("key")).alias("seed"))
+    keys = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("key"))
+    return spark.createDataFrame([s[:1] for s in SEEDS], "key string").unionByName(keys).select("key", comparison.seed_of(2166136261, F.col("key")).alias("seed"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<body class=\"([^\"]*)\"', 1) AS body_class, coalesce(nullif(regexp_extract(html, '<html[^>]* dir=\"([^\"]*)\"', 1), ''), 'ltr') AS dir, regexp_extract(html, '<meta name=\"viewport\" content=\"([^\"]*)\"', 1) AS viewport FROM pages")
@@ -574,22 +630,28 @@ TALKS = [
 ]
 
 
+def talks(spark, sf_dir):
+    """Scripts of their own, and one for each page that loads its URL, follows another and names a third."""
+    body = "concat('fetch(\\'', url, '\\'); window.open(\\'', url, '~\\'); a = \\'', url, '!\\'')"
+    return spark.createDataFrame(TALKS, "id long, body string").unionByName(rows_of_pages(spark, sf_dir, id="10 + page_id", body=body))
+
+
 def found_in(patterns: dict[str, str]) -> str:
     return " || ".join(f"regexp_extract_all(body, {pattern(p)}, 1)" for p in patterns.values())
 
 
 @query(f"""WITH t AS (SELECT id, body, unnest(list_distinct(regexp_extract_all(body, {pattern(S.LITERAL)}, 1))) AS url FROM {values('id, body', TALKS)})
-SELECT id, url, CASE WHEN {' OR '.join(f'starts_with(url, {literal(p)})' for p in U.INERT)} OR regexp_matches(url, '//localhost') THEN 'inert' WHEN list_contains({found_in(S.AUTOMATIC)}, url) THEN 'automatic' WHEN list_contains({found_in(S.NAVIGATION)}, url) THEN 'navigation' ELSE 'unknown' END AS class FROM t""")
+SELECT id, url, CASE WHEN {' OR '.join(f'starts_with(url, {literal(p)})' for p in U.INERT)} OR regexp_matches(url, '//localhost') THEN 'inert' WHEN list_contains({found_in(S.AUTOMATIC)}, url) THEN 'automatic' WHEN list_contains({found_in(S.NAVIGATION)}, url) THEN 'navigation' ELSE 'unknown' END AS class FROM t UNION ALL SELECT 10 + page_id, url || e, c FROM pages, (VALUES ('', 'automatic'), ('~', 'navigation'), ('!', 'unknown')) AS v(e, c)""")
 def network_findings(spark, sf_dir):
     """Remote URLs that scripts quote: loaded at once, followed, inert, or unknown."""
-    return spark.createDataFrame(TALKS, "id int, body string").select("id", F.explode(S.network_findings(F.col("body"))).alias("f")).select("id", "f.*")
+    return talks(spark, sf_dir).select("id", F.explode(S.network_findings(F.col("body"))).alias("f")).select("id", "f.*")
 
 
-@query(f"""WITH t AS (SELECT id, body, unnest(list_distinct(regexp_extract_all(body, {pattern(S.LITERAL)}, 1))) AS url FROM {values('id, body', TALKS)}), c AS (SELECT list_contains({found_in(S.AUTOMATIC)}, url) AS a FROM t)
+@query(f"""WITH t AS (SELECT id, body, unnest(list_distinct(regexp_extract_all(body, {pattern(S.LITERAL)}, 1))) AS url FROM {values('id, body', TALKS)}), c AS (SELECT list_contains({found_in(S.AUTOMATIC)}, url) AS a FROM t UNION ALL SELECT true FROM pages)
 SELECT count(*) FILTER (a) AS automatic, count(*) FILTER (a) = 0 AS passed FROM c""")
 def no_external_gate(spark, sf_dir):
     """The gate over what loads from elsewhere at once."""
-    found = spark.createDataFrame(TALKS, "id int, body string").select(F.explode(S.network_findings(F.col("body"))).alias("f")).where("f.class = 'automatic'")
+    found = talks(spark, sf_dir).select(F.explode(S.network_findings(F.col("body"))).alias("f")).where("f.class = 'automatic'")
     return found.agg(F.count("*").alias("automatic")).select("automatic", (F.col("automatic") == 0).alias("passed"))
 
 
@@ -614,10 +676,12 @@ def method_bodies(spark, sf_dir):
 QUOTED = [(1, "caf\\u00e9\\tx", "café\tx"), (2, 'say \\"hi\\"', 'say "hi"'), (3, 'plain "x"', 'plain "x"'), (4, "bad \\u00", None)]
 
 
-@query(f"SELECT id, body FROM {values('id, raw, body', QUOTED)}")
+@query(f"SELECT id, body FROM {values('id, raw, body', QUOTED)} UNION ALL SELECT 10 + doc_id, text FROM documents")
 def decoded_literals(spark, sf_dir):
     """What quoted literals stand for."""
-    return spark.createDataFrame([q[:2] for q in QUOTED], "id int, raw string").select("id", S.decoded_literal(F.col("raw")).alias("body"))
+    quoted = F.to_json(F.struct("text"))  # {"text":"..."}
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 10).alias("id"), F.substring(quoted, F.lit(10), F.length(quoted) - 11).alias("raw"))
+    return spark.createDataFrame([q[:2] for q in QUOTED], "id long, raw string").unionByName(docs).select("id", S.decoded_literal(F.col("raw")).alias("body"))
 
 
 PAGE_PATH = "coalesce(nullif(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^(?i:https?:)?//[^/?#]+(/.*)$', 1), ''), '/')"
