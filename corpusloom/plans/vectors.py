@@ -17,7 +17,6 @@ from corpusloom.functions import script as S
 from corpusloom.functions import text as X
 from corpusloom.functions import url as U
 from corpusloom.operators import comparison, inventory, links, lookups, reports, sequences
-from corpusloom.sources.images import pixels
 from corpusloom.sources.tables import table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,10 +198,12 @@ RAW = [
 ]
 
 
-@query(f"SELECT raw, url FROM {values('raw, found_in, captured, url', RAW)}")
+@query(f"SELECT raw, url FROM {values('raw, found_in, captured, url', RAW)} UNION ALL SELECT p || page_id || e, u || page_id || '.png' FROM pages, (VALUES ('/a/', '.png', 'https://fixture.example/a/'), ('../b/', '.png', 'https://fixture.example/b/'), ('#', '', NULL), ('https://x.example/', '.png', 'https://x.example/')) AS v(p, e, u)")
 def fetch_candidates(spark, sf_dir):
     """The URLs that references ask for; null where one is refused."""
     rows = spark.createDataFrame([r[:3] for r in RAW], "raw string, found_in string, captured string")
+    for before, after in (("/a/", ".png"), ("../b/", ".png"), ("#", ""), ("https://x.example/", ".png")):
+        rows = rows.unionByName(rows_of_pages(spark, sf_dir, raw=f"concat('{before}', page_id, '{after}')", found_in="'css/site.css'", captured="CAST(NULL AS STRING)"))
     return rows.select("raw", U.candidate(F.col("raw"), F.col("found_in"), SITE, S.EXTENSIONS, F.col("captured")).alias("url"))
 
 
@@ -276,20 +277,24 @@ ERROR_PAGES = [
 ]
 
 
-@query(f"SELECT route, title, error FROM {values('route, canonical, same_site, title, body_class, body, error', ERROR_PAGES)}")
+@query(f"SELECT route, title, error FROM {values('route, canonical, same_site, title, body_class, body, error', ERROR_PAGES)} UNION ALL SELECT '/' || place, {by_id('page_id', '页面不存在', 'All is well')}, page_id % 2 = 0 FROM {OF_PAGES} WHERE place <> ''")
 def error_pages(spark, sf_dir):
     """Captured pages that tell of an error."""
     rows = spark.createDataFrame([e[:6] for e in ERROR_PAGES], "route string, canonical string, same_site boolean, title string, body_class string, body string")
-    return rows.select("route", "title", C.error_page(*(F.col(c) for c in ("route", "canonical", "same_site", "title", "body_class", "body"))).alias("error"))
+    title = by_id("page_id", "页面不存在", "All is well")
+    pages = rows_of_pages(spark, sf_dir, route="'/' || place", canonical="CAST(NULL AS STRING)", same_site="true", title=title, body_class="''", body="''").where("route <> '/'")
+    return rows.unionByName(pages).select("route", "title", C.error_page(*(F.col(c) for c in ("route", "canonical", "same_site", "title", "body_class", "body"))).alias("error"))
 
 
 EVENTS = [("a", ["wheel", "click", "pointerdown", "pointerup", "pointermove", "submit"], True, "click,forms,pointer-drag,press-and-hold,scroll"), ("b", ["keydown", "touchmove"], False, "keyboard,scroll,touch"), ("c", [], True, "")]
 
 
-@query(f"SELECT file, families FROM {values('file, events, timed, families', EVENTS)}")
+@query(f"SELECT file, families FROM {values('file, events, timed, families', EVENTS)} UNION ALL SELECT CAST(event_id AS VARCHAR), CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'scroll' WHEN 'error' THEN 'keyboard' ELSE 'forms' END FROM events")
 def families_of_files(spark, sf_dir):
     """Interaction families of what files listen to."""
-    rows = spark.createDataFrame([e[:3] for e in EVENTS], "file string, events array<string>, timed boolean")
+    heard = F.expr("array(CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'wheel' WHEN 'error' THEN 'keydown' ELSE 'submit' END)")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("file"), heard.alias("events"), F.lit(False).alias("timed"))
+    rows = spark.createDataFrame([e[:3] for e in EVENTS], "file string, events array<string>, timed boolean").unionByName(events)
     no = F.lit(False)
     return rows.select("file", F.array_join(C.interaction_families(F.col("events"), F.col("timed"), no, no, no), ",").alias("families"))
 
@@ -297,10 +302,13 @@ def families_of_files(spark, sf_dir):
 EVIDENT = [("a", ["click", "forms", "scroll", "pointer-drag"], False, False, True, True, "click,scroll,pointer-drag"), ("b", ["media", "keyboard", "navigation"], True, False, False, False, "navigation")]
 
 
-@query(f"SELECT file, families FROM {values('file, all_of, forms, media, canvas, interactive, families', EVIDENT)}")
+@query(f"SELECT file, families FROM {values('file, all_of, forms, media, canvas, interactive, families', EVIDENT)} UNION ALL SELECT CAST(event_id AS VARCHAR), CASE WHEN value > 50 THEN 'forms' ELSE 'click' END FROM events")
 def evident_families(spark, sf_dir):
     """Interaction families that the interface can show."""
     rows = spark.createDataFrame([e[:6] for e in EVIDENT], "file string, all_of array<string>, forms boolean, media boolean, canvas boolean, interactive boolean")
+    dear, no = F.col("value") > 50, F.lit(False)
+    events = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("file"), F.array(F.lit("click"), F.lit("forms"), F.lit("media")).alias("all_of"), dear.alias("forms"), no.alias("media"), no.alias("canvas"), (~dear).alias("interactive"))
+    rows = rows.unionByName(events)
     return rows.select("file", F.array_join(C.evident(F.col("all_of"), F.col("forms"), F.col("media"), F.col("canvas"), F.col("interactive")), ",").alias("families"))
 
 
@@ -355,25 +363,29 @@ def runtime_sinks(spark, sf_dir):
 
 CAPTURED = [("/assets/runtime/config.json",), ("/assets/hero.webp",), ("/assets/f.woff2",), ("/assets/s.mp3",), ("/img/p.png",)]
 REFERENCED = f"""SELECT DISTINCT kind, CASE WHEN starts_with(raw, '../') THEN substr(raw, 3) ELSE split_part(split_part(raw, '#', 1), '?', 1) END AS path FROM
-(SELECT id, 'runtime-sink' AS kind, raw FROM ({of_patterns(S.SINKS)}) UNION ALL SELECT id, 'static', raw FROM ({of_patterns({'style': S.ASSETS['style']})})) WHERE id < 0 AND (starts_with(raw, '/') OR starts_with(raw, '../'))"""
+(SELECT id, 'runtime-sink' AS kind, raw FROM ({of_patterns(S.SINKS)}) UNION ALL SELECT id, 'static', raw FROM ({of_patterns({'style': S.ASSETS['style']})})) WHERE id < 0 AND (starts_with(raw, '/') OR starts_with(raw, '../'))
+UNION ALL SELECT k, d || page_id || e FROM pages, (VALUES ('runtime-sink', '/p/', '.json'), ('static', '/img/', '.png')) AS v(k, d, e)"""
+CAPTURED_TOO = "SELECT '/img/' || page_id || '.png' FROM pages WHERE page_id % 2 = 0"
 
 
-@query(f"SELECT kind, path, kind <> 'runtime-sink' AS blocking FROM ({REFERENCED}) ANTI JOIN {values('path', CAPTURED)} USING (path)")
+@query(f"SELECT kind, path, kind <> 'runtime-sink' AS blocking FROM ({REFERENCED}) ANTI JOIN {with_rows('path', CAPTURED, CAPTURED_TOO)} USING (path)")
 def missing_assets(spark, sf_dir):
     """Named assets without a captured file; what only a script may load does not block."""
     return _missing(spark, sf_dir)
 
 
 def _missing(spark, sf_dir):
-    own = bodies(spark, sf_dir).where("id < 0")
+    own = spark.createDataFrame(SOURCES, "id long, path string, body string")
+    own = own.unionByName(rows_of_pages(spark, sf_dir, id="page_id", path="place", body="concat('fetch(\\'/p/', page_id, '.json\\'); p{background:url(/img/', page_id, '.png)}')"))
     sinks = own.select(F.lit("runtime-sink").alias("kind"), F.explode(S.sinks(F.col("body"))).alias("m"))
     styles = own.select(F.lit("static").alias("kind"), F.explode(S.matches(F.col("body"), {"style": S.ASSETS["style"]})).alias("m"))
     named = sinks.unionByName(styles).select("kind", F.col("m.raw").alias("raw")).where("startswith(raw, '/') or startswith(raw, '../')")
     named = named.select("kind", F.when(F.startswith("raw", F.lit("../")), F.substring(F.col("raw"), F.lit(3), F.length("raw"))).otherwise(U.without_query(F.col("raw"))).alias("path")).distinct()
-    return links.unresolved(named, spark.createDataFrame(CAPTURED, "path string"))
+    captured = rows_of_pages(spark, sf_dir, path="CASE WHEN page_id % 2 = 0 THEN concat('/img/', page_id, '.png') END").where("path IS NOT NULL")
+    return links.unresolved(named, spark.createDataFrame(CAPTURED, "path string").unionByName(captured))
 
 
-@query(f"SELECT count(*) FILTER (blocking) AS blocking, count(*) FILTER (NOT blocking) AS diagnostic, coalesce(bool_and(NOT blocking), true) AS passed FROM (SELECT kind <> 'runtime-sink' AS blocking FROM ({REFERENCED}) ANTI JOIN {values('path', CAPTURED)} USING (path))")
+@query(f"SELECT count(*) FILTER (blocking) AS blocking, count(*) FILTER (NOT blocking) AS diagnostic, coalesce(bool_and(NOT blocking), true) AS passed FROM (SELECT kind <> 'runtime-sink' AS blocking FROM ({REFERENCED}) ANTI JOIN {with_rows('path', CAPTURED, CAPTURED_TOO)} USING (path))")
 def asset_gate(spark, sf_dir):
     """The gate over missing assets."""
     return links.asset_gate(_missing(spark, sf_dir))
@@ -434,10 +446,11 @@ def sources_by_language(spark, sf_dir):
 STYLES = [(1, "a{color:red}\n{!theme!}\n;\nb{margin: auto: ;}", "a{color:red}\n\nb{/* dropped malformed margin declaration */}"), (2, "a{}", "a{}")]
 
 
-@query(f"SELECT id, css FROM {values('id, raw, css', STYLES)}")
+@query(f"SELECT id, css FROM {values('id, raw, css', STYLES)} UNION ALL SELECT 10 + page_id, 'a' || page_id || '{{}}' || chr(10) || chr(10) || 'p{{}}' FROM pages")
 def cleaned_styles(spark, sf_dir):
     """Captured style without template lines, malformed declarations and lone semicolons."""
-    return spark.createDataFrame([s[:2] for s in STYLES], "id int, raw string").select("id", S.clean_css(F.col("raw")).alias("css"))
+    own = spark.createDataFrame([s[:2] for s in STYLES], "id long, raw string")
+    return own.unionByName(rows_of_pages(spark, sf_dir, id="10 + page_id", raw="concat('a', page_id, '{}\\n', 'x {!', page_id, '!} y\\n  ; \\np{}')")).select("id", S.clean_css(F.col("raw")).alias("css"))
 
 
 SETS = [(1, "a.png 1x,  b.png 2x", "a.png,b.png"), (2, "c.png", "c.png"), (3, " , d.png 300w", "d.png")]
@@ -479,11 +492,13 @@ FACTS = [("assets/app.7.js", True, False, False), ("assets/lib.js", False, False
 
 
 @query(f"""SELECT l.path, l.target, f.path IS NOT NULL AS "exists", CASE WHEN f.path IS NULL THEN 'missing' WHEN f.a OR f.b OR f.c THEN 'application-bootstrap' ELSE 'runtime-script' END AS class
-FROM (SELECT path, unnest(targets) AS target FROM {values('path, targets', LOADERS)}) l LEFT JOIN (SELECT * FROM {values('path, a, b, c', FACTS)}) f ON f.path = l.target""")
+FROM (SELECT path, unnest(targets) AS target FROM {with_rows('path, targets', LOADERS, "SELECT 'p/' || page_id, ['assets/lib.js', 'assets/' || page_id % 9 || '.js'] FROM pages")}) l LEFT JOIN {with_rows('path, a, b, c', FACTS, "SELECT 'assets/' || page_id || '.js', page_id = 1, false, page_id = 2 FROM pages")} f ON f.path = l.target""")
 def loader_targets(spark, sf_dir):
     """The scripts that loaders load, looked up; missing where none is captured."""
     scripts = spark.createDataFrame(FACTS, "path string, touches_dom boolean, creates_worker boolean, has_canvas boolean")
-    return lookups.targets_of(spark.createDataFrame(LOADERS, "path string, targets array<string>"), scripts)
+    scripts = scripts.unionByName(rows_of_pages(spark, sf_dir, path="concat('assets/', page_id, '.js')", touches_dom="page_id = 1", creates_worker="false", has_canvas="page_id = 2"))
+    loaders = rows_of_pages(spark, sf_dir, path="concat('p/', page_id)", targets="array('assets/lib.js', concat('assets/', page_id % 9, '.js'))")
+    return lookups.targets_of(spark.createDataFrame(LOADERS, "path string, targets array<string>").unionByName(loaders), scripts)
 
 
 @query("""WITH a AS (SELECT conv_id || '/' || turn AS id, text AS state FROM conversations WHERE conv_id % 5 <> 0), b AS (SELECT conv_id || '/' || turn AS id, CASE WHEN turn % 3 = 0 THEN upper(text) ELSE text END AS state FROM conversations WHERE conv_id % 5 <> 1)
@@ -658,19 +673,25 @@ def no_external_gate(spark, sf_dir):
 CODE = [(1, "a = 'x // y'; // note\n/* fetch('z') */ b = `t`;"), (2, 'render() { /* later */ return "a \\" b"; }')]
 
 
-@query(f"SELECT id, regexp_replace(code, {pattern(S.UNREAD)}, ' ', 'g') AS masked FROM {values('id, code', CODE)}")
+@query(f"SELECT id, regexp_replace(code, {pattern(S.UNREAD)}, ' ', 'g') AS masked FROM {values('id, code', CODE)} UNION ALL SELECT 10 + page_id, 'a' || page_id || ' =  ; b =   + 1;  ' FROM pages")
 def masked_code(spark, sf_dir):
     """Scripts without comments and quoted text."""
-    return spark.createDataFrame(CODE, "id int, code string").select("id", S.masked(F.col("code")).alias("masked"))
+    pages = rows_of_pages(spark, sf_dir, id="10 + page_id", code="concat('a', page_id, ' = \\'', url, '\\'; b = \"x // y\" + 1; // ', page_id)")
+    return spark.createDataFrame(CODE, "id long, code string").unionByName(pages).select("id", S.masked(F.col("code")).alias("masked"))
 
 
 ENGINES = [(1, "class E { start() { this.run(1); } stop() { /* none */ } }", "this.run(1);"), (2, "e.start() { x }", None), (3, "start(a, b)\n{\n  go();\n  on(); }", "go(); on();")]
 
 
-@query(f"SELECT id, body FROM {values('id, code, body', ENGINES)}")
+ENGINE_OF_PAGE = "concat('class E { restart() { no(); } start(a) { if (a) { go(', page_id, '); /* } */ } s = \\'}\\'; u = \\'', url, '\\'; } stop() { } }')"
+BODY_OF_PAGE = "'if (a) { go(' || page_id || '); } s = ' || chr(39) || '}' || chr(39) || '; u = ' || chr(39) || url || chr(39) || ';'"
+
+
+@query(f"SELECT id, body FROM {values('id, code, body', ENGINES)} UNION ALL SELECT 10 + page_id, {BODY_OF_PAGE} FROM pages")
 def method_bodies(spark, sf_dir):
     """Bodies of the method that starts an engine."""
-    return spark.createDataFrame([e[:2] for e in ENGINES], "id int, code string").select("id", S.method_body(F.col("code"), "start").alias("body"))
+    own = spark.createDataFrame([e[:2] for e in ENGINES], "id long, code string")
+    return own.unionByName(rows_of_pages(spark, sf_dir, id="10 + page_id", code=ENGINE_OF_PAGE)).select("id", S.method_body(F.col("code"), "start").alias("body"))
 
 
 QUOTED = [(1, "caf\\u00e9\\tx", "café\tx"), (2, 'say \\"hi\\"', 'say "hi"'), (3, 'plain "x"', 'plain "x"'), (4, "bad \\u00", None)]
@@ -737,20 +758,25 @@ def evidence_digest(spark, sf_dir):
 REWRITES = [(1, "load('a.js', 'b.js')", [(6, 10, "x"), (14, 18, "yy")], "load('x', 'yy')"), (2, "é😀z", [(1, 2, "*"), (0, 2, "!")], "!z"), (3, "same", [], "same")]
 
 
-@query(f"SELECT id, body FROM {values('id, body', [(r[0], r[3]) for r in REWRITES])}")
+@query(f"SELECT id, body FROM {values('id, body', [(r[0], r[3]) for r in REWRITES])} UNION ALL SELECT 10 + doc_id, '<' || substr(text, 1, 3) || '*' || substr(text, 6) FROM documents WHERE length(text) > 9")
 def applied_edits(spark, sf_dir):
     """Texts with edits made at their places."""
     rows = spark.createDataFrame([r[:3] for r in REWRITES], "id int, raw string, edits array<struct<start:int,end:int,value:string>>")
+    edit = lambda a, b, v: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(v).alias("value"))
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 9).select((F.col("doc_id") + 10).alias("id"), F.col("text").alias("raw"), F.array(edit(3, 5, "*"), edit(0, 0, "<"), edit(4, 7, "no")).alias("edits"))
+    rows = rows.withColumn("id", F.col("id").cast("long")).unionByName(docs)
     return rows.select("id", X.edited(F.col("raw"), F.col("edits")).alias("body"))
 
 
 NESTED = [(1, '{"a": ["x", {"b": "y", "c": [["z"], 3, null]}], "d": true}'), (2, '"top"'), (3, "no json"), (4, "[]")]
 
 
-@query("SELECT id, body FROM (VALUES (1, 'x'), (1, 'y'), (1, 'z'), (2, 'top')) AS v(id, body)")
+@query("SELECT id, body FROM (VALUES (1, 'x'), (1, 'y'), (1, 'z'), (2, 'top')) AS v(id, body) UNION ALL SELECT 10 + doc_id, unnest([lang, source, lang]) FROM documents")
 def deep_strings(spark, sf_dir):
     """Every string of nested records."""
-    return reports.deep_strings(spark.createDataFrame(NESTED, "id int, raw string"), "id", "raw").withColumnRenamed("text", "body")
+    inner = F.struct(F.array(F.struct("source", F.col("n_chars").alias("n")), F.struct(F.col("lang").alias("source"), F.lit(1).alias("n"))).alias("x"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 10).alias("id"), F.to_json(F.struct("lang", inner.alias("deep"))).alias("raw"))
+    return reports.deep_strings(spark.createDataFrame(NESTED, "id long, raw string").unionByName(docs), "id", "raw").withColumnRenamed("text", "body")
 
 
 @query(f"SELECT count(DISTINCT {PAGE_PATH}) AS routes, count(*) AS pages, CAST(coalesce(sum(len(regexp_extract_all(html, '<script[^>]*>'))), 0) AS BIGINT) AS scripts, count(*) FILTER (regexp_extract(html, '<title>([^<]*)</title>', 1) = '') AS untitled FROM pages")
@@ -760,10 +786,11 @@ def site_summary(spark, sf_dir):
     return reports.site_summary(table(spark, sf_dir, "pages"), U.path(F.col("url")), scripts, F.regexp_extract("html", "<title>([^<]*)</title>", 1))
 
 
-@query("SELECT id, missing FROM (VALUES (1, 'stop,resize'), (2, 'start,stop,resize'), (3, 'stop,resize')) AS v(id, missing)")
+@query("SELECT id, missing FROM (VALUES (1, 'stop,resize'), (2, 'start,stop,resize'), (3, 'stop,resize')) AS v(id, missing) UNION ALL SELECT 10 + page_id, 'stop,resize' FROM pages")
 def engine_gate(spark, sf_dir):
     """Methods that engines lack or leave empty."""
-    rows = spark.createDataFrame([e[:2] for e in ENGINES], "id int, code string")
+    own = spark.createDataFrame([e[:2] for e in ENGINES], "id long, code string")
+    rows = own.unionByName(rows_of_pages(spark, sf_dir, id="10 + page_id", code=ENGINE_OF_PAGE))
     return reports.lacking(rows, {n: S.method_body(F.col("code"), n) for n in ("start", "stop", "resize")})
 
 
@@ -775,27 +802,3 @@ def interface_elements(spark, sf_dir):
     """Elements that make each page's interface."""
     tags = F.regexp_extract_all("html", F.lit(f"<({'|'.join(TAGS)})[ >]"), F.lit(1))
     return table(spark, sf_dir, "pages").select("page_id", F.explode(tags).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
-
-
-def _png(width: int, height: int, kind: int, lines: list[bytes]) -> bytes:
-    import struct
-    import zlib
-
-    def chunk(name: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
-
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
-
-
-PICTURES = [
-    (1, _png(2, 2, 6, [bytes([0, 1, 2, 3, 4, 5, 6, 7, 8]), bytes([2, 1, 1, 1, 1, 1, 1, 1, 1])]), 2, "1,2,3,4,5,6,7,8,2,3,4,5,6,7,8,9"),
-    (2, _png(3, 3, 0, [bytes([1, 10, 1, 255]), bytes([3, 5, 5, 5]), bytes([4, 1, 2, 3])]), 3, "10,11,10,10,15,17,11,17,20"),
-    (3, b"no picture", None, None),
-]
-
-
-@query(f"SELECT id, CAST(width AS INTEGER) AS width, shown FROM {values('id, width, shown', [(p[0], p[2], p[3]) for p in PICTURES])}")
-def picture_pixels(spark, sf_dir):
-    """Pixels of captured pictures."""
-    rows = spark.createDataFrame([(p[0], bytearray(p[1])) for p in PICTURES], "id int, content binary").select("id", pixels(F.col("content")).alias("p"))
-    return rows.select("id", "p.width", F.when(F.col("p.pixels").isNotNull(), F.array_join("p.pixels", ",")).alias("shown"))

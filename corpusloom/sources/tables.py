@@ -67,10 +67,16 @@ def captured(files: DataFrame) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Rows as JSON lines; Spark commits all files or none."""
+    """Rows as JSON lines. Overwriting removes the old rows first; replacing.replace() keeps them until the new ones stand."""
     df.write.mode(mode).json(path)
 
 
 def texts(files: DataFrame) -> DataFrame:
     """path, text of files with their content read as UTF-8; what is none comes with replacement characters."""
     return files.select("path", F.decode(F.col("content"), "UTF-8").alias("text"))
+
+
+def pictures(spark: SparkSession, path: str) -> DataFrame:
+    """path, height, width, channels, pixels of the pictures in a folder, decoded by Spark; what is none is left out."""
+    found = spark.read.format("image").option("dropInvalid", "true").load(path)
+    return found.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))

@@ -95,3 +95,17 @@ def test_odd_names(spark):
     rows = [("a/b.html", "'/assets/x%20y.png' '/assets/%zz.png' '/assets/${n}.png' './c.css' '../../up.js' 'assets/bare.js'"), ("n.html", None)]
     refs = closure.references(spark.createDataFrame(rows, "path string, text string"))
     assert sorted(r.resolved for r in refs.collect()) == ["../up.js", "a/c.css", "assets/%zz.png", "assets/bare.js", "assets/x y.png"]
+
+
+def test_pictures(spark, tmp_path):
+    import struct
+    import zlib
+
+    from corpusloom.sources.tables import pictures
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\1\2\3\4\5\6")) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    (tmp_path / "b.png").write_bytes(b"none")
+    (found,) = pictures(spark, str(tmp_path)).collect()
+    assert (found.height, found.width, found.channels, bytes(found.pixels)) == (1, 2, 3, bytes([3, 2, 1, 6, 5, 4]))  # blue first
