@@ -113,10 +113,15 @@ STEMS = [("/", "index", "index", "HomePage"), ("/about/team", "about.team", "abo
 KNOWN_ROUTES = ["/", "/products", "/products/widget/details", "/about/team"]
 
 
-@query(f"SELECT route, stem, project_stem, name FROM {values('route, stem, project_stem, name', STEMS)}")
+SAFE = "regexp_replace(rtrim(place, '/'), '[^A-Za-z0-9_$/-]', '-', 'g')"
+NAMED_PAGES = f"SELECT '/' || rtrim(place, '/') AS route, replace({SAFE}, '/', '.') AS stem, replace({SAFE}, '/', '.') AS project_stem, array_to_string(list_transform(regexp_extract_all(place, '[A-Za-z0-9]+'), lambda w: upper(w[1]) || w[2:]), '') || 'Page' AS name FROM {OF_PAGES} WHERE rtrim(place, '/') <> ''"
+
+
+@query(f"SELECT route, stem, project_stem, name FROM {values('route, stem, project_stem, name', STEMS)} UNION ALL {NAMED_PAGES}")
 def route_names(spark, sf_dir):
     """Stems and component names of routes."""
-    routes = spark.createDataFrame([s[:1] for s in STEMS], "route string")
+    pages = rows_of_pages(spark, sf_dir, route="concat('/', rtrim('/', place))").where("route <> '/'")
+    routes = spark.createDataFrame([s[:1] for s in STEMS], "route string").unionByName(pages)
     known = F.array(*[F.lit(r) for r in KNOWN_ROUTES])
     return routes.select("route", U.route_stem(F.col("route")).alias("stem"), U.project_stem(F.col("route"), known).alias("project_stem"), U.component_name(F.col("route")).alias("name"))
 
@@ -609,10 +614,18 @@ def invalidated_stages(spark, sf_dir):
 ACTIONS = [(1, 1, "checkpoint", False), (1, 2, "wheel", True), (1, 3, "wait", False), (1, 4, "checkpoint", False), (1, 5, "hold", False), (2, 1, "wheel", False), (2, 2, "checkpoint", False)]
 
 
-@query(f"SELECT scenario, place, kind, bracketed FROM {values('scenario, place, kind, bracketed', ACTIONS)}")
+ACTED = "SELECT 10 + user_id AS scenario, CAST(event_id AS INT) AS place, CASE event_type WHEN 'view' THEN 'checkpoint' WHEN 'click' THEN 'wheel' ELSE 'wait' END AS kind FROM events"
+NEXT_TO = "{0}(nullif(kind, 'wait') IGNORE NULLS) OVER (PARTITION BY scenario ORDER BY place ROWS BETWEEN {1}) = 'checkpoint'"
+BETWEEN = f"coalesce({NEXT_TO.format('last_value', 'UNBOUNDED PRECEDING AND 1 PRECEDING')} AND {NEXT_TO.format('first_value', '1 FOLLOWING AND UNBOUNDED FOLLOWING')}, false)"
+
+
+@query(f"SELECT scenario, place, kind, bracketed FROM {values('scenario, place, kind, bracketed', ACTIONS)} UNION ALL SELECT scenario, place, kind, {BETWEEN} FROM ({ACTED})")
 def bracketed_actions(spark, sf_dir):
     """Which actions stand between two checkpoints."""
-    return sequences.bracketed(spark.createDataFrame([a[:3] for a in ACTIONS], "scenario int, place int, kind string"), "scenario", "place").select("scenario", "place", "kind", "bracketed")
+    kind = F.when(F.col("event_type") == "view", "checkpoint").when(F.col("event_type") == "click", "wheel").otherwise("wait")
+    events = table(spark, sf_dir, "events").select((F.col("user_id") + 10).alias("scenario"), F.col("event_id").cast("int").alias("place"), kind.alias("kind"))
+    own = spark.createDataFrame([a[:3] for a in ACTIONS], "scenario long, place int, kind string")
+    return sequences.bracketed(own.unionByName(events), "scenario", "place").select("scenario", "place", "kind", "bracketed")
 
 
 SEEDS = [("", 2166136261), ("a", (2166136261 ^ 97) * 16777619 % 2**32), ("ab", (((2166136261 ^ 97) * 16777619 % 2**32) ^ 98) * 16777619 % 2**32)]
