@@ -115,9 +115,11 @@ class Lexicon:
                 safe.append((start, end))
             elif w > hits.get(start, 0.0):
                 hits[start] = w
-        for a, b in safe:
-            for start in [s for s in hits if a <= s < b]:
-                del hits[start]
+        if safe:  # marked once, whatever their number
+            inside = bytearray(len(folded))
+            for a, b in safe:
+                inside[a:b] = b"\1" * (b - a)
+            hits = {start: w for start, w in hits.items() if not inside[start]}
         total = math.fsum(hits.values())
         return math.log1p(total), total / math.sqrt(1 + folded.count(" "))
 

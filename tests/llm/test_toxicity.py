@@ -121,3 +121,17 @@ def test_a_fixed_term_goes_where_clean_texts_hold_it_more(spark):
     rows = [(f"you are stupid {i}", 1) for i in range(20)] + [(f"the scum of iron {i}", 0) for i in range(20)] + [(f"plain {i}", 0) for i in range(20)]
     weights = T.fit(spark.createDataFrame(rows, "text string, toxic int")).weights
     assert " scum" not in weights and " moron" in weights and any(t.startswith(" stup") for t in weights)
+
+
+def test_many_exception_phrases_take_linear_time():
+    import time
+
+    lexicon = T.Lexicon({" idiot": 2.0, " trash": 1.0}, exceptions=("trash can",))
+    alone = lexicon.features("trash can idiot")
+    took = []
+    for n in (2_000, 40_000):
+        began = time.process_time()
+        x, _ = lexicon.features("trash can idiot " * n)
+        took.append(time.process_time() - began)
+        assert abs(math.expm1(x) - n * math.expm1(alone[0])) < 1e-6 * n
+    assert took[1] < 100 * max(took[0], 0.005)
