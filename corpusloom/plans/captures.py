@@ -148,7 +148,7 @@ def captured_files(spark, sf_dir):
     """Pages as the files of a capture: a folder for each host."""
     path = U.path(F.col("url"))
     name = F.concat(U.host(F.col("url")), path, F.when(F.endswith(path, F.lit("/")), "index.html").otherwise(""))
-    return of_pages(spark, sf_dir).select(name.alias("path"), F.col("html").alias("text"))
+    return of_pages(spark, sf_dir).select("page_id", name.alias("path"), F.col("html").alias("text"))
 
 
 def named_files(spark, sf_dir):
@@ -168,12 +168,15 @@ def closure_gate(spark, sf_dir):
     return closure.gate(refs, captured_files(spark, sf_dir), by="host")
 
 
-@query(f"""{FILES} SELECT count(*) AS "references", count(*) FILTER (NOT there) AS blocking, 0 AS diagnostic, coalesce(bool_and(there), true) AS passed FROM (SELECT EXISTS (SELECT 1 FROM f WHERE f.file = n.resolved) AS there FROM n)""")
+FILED = FILES.replace("FROM p),", "FROM p QUALIFY row_number() OVER (PARTITION BY file ORDER BY page_id) = 1),")
+
+
+@query(f"""{FILED} SELECT count(*) AS "references", count(*) FILTER (NOT there) AS blocking, 0 AS diagnostic, coalesce(bool_and(there), true) AS passed FROM (SELECT EXISTS (SELECT 1 FROM f WHERE f.file = n.resolved) AS there FROM n)""")
 def tree_closure_gate(spark, sf_dir):
-    """Pages written out as a tree of files, scanned folder by folder, and the closure gate over what the tree holds."""
+    """Pages written out as a tree of files (of those with one path the first), scanned folder by folder, and the closure gate over what the tree holds."""
     root = new_folder(spark, "capture")
-    named = F.concat("path", F.lit(".page"))  # a page's path may be the folder of another page
-    write_tree(captured_files(spark, sf_dir).select(named.alias("path"), F.col("text").alias("content")), root)
+    first = captured_files(spark, sf_dir).groupBy("path").agg(F.min_by("text", "page_id").alias("content"))
+    write_tree(first.withColumn("path", F.concat("path", F.lit(".page"))), root)  # a page's path may be the folder of another page
     files = texts(read_tree(spark, root)).withColumn("path", F.regexp_replace("path", r"\.page$", ""))
     return closure.gate(closure.references(files, extensions=None, attributes=True, root=F.substring_index("path", "/", 1)), files)
 
