@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import url as U
-from corpusloom.operators import closure, discovery, elements, ordering, provenance, reports, rewriting
+from corpusloom.operators import architecture, closure, discovery, elements, ordering, provenance, reports, rewriting
 from corpusloom.sources.tables import table, texts
 from corpusloom.sources.trees import new_folder, read_tree, write_tree
 
@@ -217,3 +217,53 @@ def discovery_rounds(spark, sf_dir):
     names = lambda rows: rows.select(F.explode(F.transform(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)">'), F.lit(1)), name)).alias("key"))
     found = discovery.discover(files, spark.createDataFrame([("fr",)], "key string"), names, new_folder(spark, "rounds"))
     return reports.per_round(found, "outcome")
+
+
+# --- the architecture of rebuilt projects
+
+#: Five pages are a project; what its files say follows from the ids of its pages, so that every rule is kept and broken.
+PROJECTS = """WITH p AS (SELECT page_id AS i, page_id // 5 AS project FROM pages), f AS (SELECT project,
+bool_or(i % 5 = 0) AND project % 3 <> 0 AS package, bool_or(i % 2 = 0) AS router, count(*) FILTER (i % 3 = 0) AS injected, count(*) FILTER (i % 17 = 0) AS bundle, count(*) FILTER (i % 11 = 0) AS marker,
+count(*) FILTER (i % 23 = 0) AS legacy, count(*) FILTER (i % 46 = 0) AS shells, count(*) FILTER (i % 7 = 0) AS imperative, bool_or(i % 13 = 0) AS element, bool_or(i % 4 = 0) AS imported,
+count(*) FILTER (i % 3 = 1) AS engine, count(*) FILTER (i % 3 = 1 AND (i % 2 = 1 OR i % 5 = 0)) AS incomplete, count(*) FILTER (i % 3 = 1 AND i % 2 = 1) AS placeholders,
+bool_or(i % 3 = 1 AND i % 4 < 2) AS surface, bool_or(i % 3 = 1 AND i % 8 < 4) AS rendered, bool_or(i % 3 = 1 AND i % 16 < 8) AS terminated,
+bool_or(i % 5 = 1) AND project % 4 = 0 AS canvas, bool_or(i % 5 = 1) AND project % 4 = 0 OR bool_or(i % 19 = 0) AS workers, bool_or(i % 19 = 0) AS captured FROM p GROUP BY project),
+n AS (SELECT *, canvas OR workers OR element AS needed, NOT canvas OR rendered AS renders FROM f),
+r AS (SELECT project, unnest([{'c': 'tanstack-router-missing', 'n': CAST(NOT (package AND router) AS BIGINT)}, {'c': 'dynamic-script-injection', 'n': injected}, {'c': 'business-bootstrap-bundle', 'n': bundle}, {'c': 'legacy-adapter-marker', 'n': marker},
+{'c': 'captured-legacy-script-not-reconstructed', 'n': legacy}, {'c': 'bootstrap-owned-shell', 'n': shells}, {'c': 'visible-dom-owned-outside-react', 'n': imperative + shells},
+{'c': 'runtime-engine-present-but-unisolated', 'n': CAST((canvas OR workers) AND engine = 0 AS BIGINT)}, {'c': 'engine-contract-missing', 'n': CAST(needed AND NOT canvas AND NOT workers AND engine = 0 AS BIGINT)},
+{'c': 'engine-contract-incomplete', 'n': incomplete}, {'c': 'engine-contract-placeholder', 'n': placeholders}, {'c': 'engine-contract-unmounted', 'n': CAST(needed AND engine > 0 AND NOT imported AS BIGINT)},
+{'c': 'runtime-canvas-surface-missing', 'n': CAST(canvas AND NOT (element AND surface) AS BIGINT)}, {'c': 'runtime-worker-cleanup-missing', 'n': CAST(workers AND NOT terminated AS BIGINT)},
+{'c': 'engine-runtime-placeholder', 'n': CAST(needed AND engine > 0 AND NOT renders AS BIGINT)}, {'c': 'captured-bootstrap-replacement-unproven', 'n': CAST(captured AND NOT renders AS BIGINT)}]) AS x FROM n)"""
+
+
+def projects(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Files of projects, with the markup of a page in each source file, and the legacy scripts that they were captured with."""
+    pages = of_pages(spark, sf_dir).select(F.col("page_id").alias("i"), F.floor(F.col("page_id") / 5).alias("project"), "html")
+    i, name = F.col("i"), F.col("i").cast("string")
+    some = lambda test, text: F.when(test, F.lit(text)).otherwise("")
+    source = F.concat("html", some(i % 2 == 0, " <RouterProvider/>; createFileRoute('/')"), some(i % 3 == 0, " createElement('script')"), some(i % 7 == 0, " document.body.innerHTML = x"), some(i % 11 == 0, " legacyScripts"), some(i % 13 == 0, " <canvas id=c>"), some(i % 4 == 0, " import e from '../engines/e'; e.start(); e.destroy()"))
+    engine = F.concat(F.lit("start() { this.on = 1 }\nsnapshot() { }\ndestroy: () => { stop() }\n"), F.when(i % 2 == 1, "dispatch(e: Event): void { return; /* later */ }\n").otherwise("async dispatch(e) { this.e = e }\n"), some(i % 5 != 0, "resize(w, h) { this.w = w }\n"), some(i % 4 < 2, "c.getContext('2d')\n"), some(i % 8 < 4, "c.drawImage(a)\n"), some(i % 16 < 8, "w.terminate()\n"))
+    kinds = [
+        (i >= 0, F.concat(F.lit("src/pages/p"), name, F.lit(".tsx")), source),
+        (i % 3 == 1, F.concat(F.lit("src/engines/e"), name, F.lit("/index.ts")), engine),
+        ((i % 5 == 0) & (F.col("project") % 3 != 0), F.lit("package.json"), F.lit('{"dependencies": {"@tanstack/react-router": "1"}}')),
+        (i % 17 == 0, F.concat(F.lit("public/"), name, F.lit("/main.js.bak")), F.lit("")),
+        ((i % 5 == 1) & (F.col("project") % 4 == 0), F.lit("reports/behavior-contracts.json"), F.lit('{"summary": {"canvas": 1, "workers": 2}}')),
+        (i % 19 == 0, F.concat(F.lit("mirror/"), name, F.lit("/app.js")), F.lit("new Worker('w.js')")),
+    ]
+    each = F.array_compact(F.array(*[F.when(test, F.struct(path.alias("path"), text.alias("text"))) for test, path, text in kinds]))
+    files = pages.select("project", F.explode(each).alias("f")).select("project", "f.*")
+    return files, pages.where("i % 23 = 0").select("project", F.when(i % 46 == 0, 0).otherwise(F.size(F.regexp_extract_all("html", F.lit("<[a-z]"), F.lit(0)))).alias("visible"))
+
+
+@query(f"{PROJECTS} SELECT project, x.c AS code, x.n AS n FROM r WHERE x.n > 0")
+def architecture_findings(spark, sf_dir):
+    """Which rules of a rebuilt project's architecture each project breaks, and how often."""
+    return architecture.findings(*projects(spark, sf_dir))
+
+
+@query(f"{PROJECTS} SELECT project, count(*) FILTER (x.n > 0) AS findings, count(*) FILTER (x.n > 0) = 0 AS passed FROM r GROUP BY project")
+def architecture_gate(spark, sf_dir):
+    """The architecture gate of each project."""
+    return architecture.gate(*projects(spark, sf_dir))
