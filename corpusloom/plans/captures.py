@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import url as U
-from corpusloom.operators import architecture, closure, discovery, elements, ordering, provenance, reports, rewriting
+from corpusloom.operators import architecture, closure, discovery, elements, naming, ordering, provenance, reports, rewriting
 from corpusloom.sources.tables import table, texts
 from corpusloom.sources.trees import new_folder, read_tree, write_tree
 
@@ -267,3 +267,18 @@ def architecture_findings(spark, sf_dir):
 def architecture_gate(spark, sf_dir):
     """The architecture gate of each project."""
     return architecture.gate(*projects(spark, sf_dir))
+
+
+# --- names in turn
+
+
+@query("""WITH RECURSIVE d AS (SELECT doc_id, chr(CAST(97 + (doc_id // 20) % 13 AS INT)) || source AS base FROM documents), g AS (SELECT doc_id, base, regexp_replace(base, '[0-9]+$', '') AS stem FROM d WHERE base IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY doc_id) AS i FROM g),
+r(stem, i, doc_id, u, used) AS (SELECT DISTINCT stem, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]) FROM o
+UNION ALL SELECT x.stem, x.i, x.doc_id, x.u, list_append(x.used, x.u) FROM (SELECT o.stem, o.i, o.doc_id, r.used, list_filter(list_prepend(o.base, list_transform(range(2, len(r.used) + 3), lambda j: o.base || j)), lambda c: NOT list_contains(r.used, c))[1] AS u FROM r JOIN o ON o.stem = r.stem AND o.i = r.i + 1) AS x)
+SELECT doc_id, u AS "unique" FROM r WHERE i > 0 UNION ALL SELECT doc_id, NULL FROM d WHERE base IS NULL""")
+def names_in_turn(spark, sf_dir):
+    """Names that no other row has, given in order of documents (a letter and the source for component names, some of which end in numbers that others would get)."""
+    letter = F.char((97 + F.floor(F.col("doc_id") / 20) % 13).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(letter, "source").alias("name"))
+    return naming.unique_names(docs, "name", "doc_id").select("doc_id", "unique")
