@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import url as U
-from corpusloom.operators import architecture, closure, discovery, elements, naming, ordering, provenance, reports, rewriting
+from corpusloom.operators import architecture, closure, discovery, elements, naming, ordering, provenance, repairs, reports, rewriting
 from corpusloom.sources.tables import table, texts
 from corpusloom.sources.trees import new_folder, read_tree, write_tree
 
@@ -282,3 +282,36 @@ def names_in_turn(spark, sf_dir):
     letter = F.char((97 + F.floor(F.col("doc_id") / 20) % 13).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(letter, "source").alias("name"))
     return naming.unique_names(docs, "name", "doc_id").select("doc_id", "unique")
+
+
+# --- histories of repairs
+
+REPAIRS = r"""WITH e AS (SELECT event_id, user_id, ts, event_type AS strategy, value > 20 AS passed, CASE WHEN event_id % 10 <> 0 THEN event_type END AS signature,
+CASE event_id % 6 WHEN 0 THEN 'route' WHEN 1 THEN 'content' WHEN 2 THEN 'layout' WHEN 3 THEN 'asset' WHEN 4 THEN 'network' ELSE 'behavior' END AS classification,
+CASE WHEN value > 20 AND event_id % 7 = 0 THEN 'untested' WHEN event_id % 13 = 0 THEN 'no-action' WHEN event_id % 5 < 2 THEN 'report-only' END AS own FROM events),
+f AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS i FROM e),
+g AS (SELECT *, min(i) FILTER (own IS NULL AND NOT passed) OVER (PARTITION BY user_id, classification, strategy) AS failed FROM f), j AS (SELECT *, CASE WHEN i > failed THEN 'repeated' ELSE own END AS refused FROM g)"""
+
+
+def proposed_repairs(spark, sf_dir):
+    """Events as repairs: users for histories, types for strategies; what else a proposal has follows from the event's number."""
+    n = F.col("event_id")
+    pick = lambda by, *of: F.element_at(F.array(*of), (n % by + 1).cast("int"))
+    codes = [F.lit(c) for c in ("route-missing", "visible-text", "geometry", "asset-lost", "fetch-failed", "other")]
+    files = [F.array(*map(F.lit, f)) if f else F.array().cast("array<string>") for f in (["reports/a.json"], ["proof\\x.json", "a/run.json"], ["reports/a.json", "src/a.ts"], [], ["src/a.ts"])]
+    return table(spark, sf_dir, "events").select(
+        n, "user_id", "ts", pick(6, *codes).alias("code"), F.col("event_type").alias("strategy"), F.when(n % 10 != 0, F.col("event_type")).alias("signature"), F.when(F.col("value") > 20, "passed").otherwise("failed").alias("result"),
+        F.when(n % 7 != 0, "a test").alias("test"), F.when(n % 13 == 0, " ").otherwise("edit").alias("action"), pick(5, *files).alias("files"),
+    )
+
+
+@query(f"{REPAIRS} SELECT event_id, classification, refused FROM j")
+def judged_repairs(spark, sf_dir):
+    """Which proposed repairs are refused, and why."""
+    return repairs.judged(proposed_repairs(spark, sf_dir), "user_id", ["ts", "event_id"], ("run.json",)).select("event_id", "classification", "refused")
+
+
+@query(f"""{REPAIRS} SELECT event_id, row_number() OVER (PARTITION BY user_id, signature ORDER BY i) AS attempt, lag(signature) OVER (PARTITION BY user_id ORDER BY i) AS previous_signature, passed AS converged FROM j WHERE refused IS NULL""")
+def recorded_repairs(spark, sf_dir):
+    """The history of the repairs that are kept."""
+    return repairs.recorded(proposed_repairs(spark, sf_dir), "user_id", ["ts", "event_id"], ("run.json",)).select("event_id", "attempt", "previous_signature", "converged")
