@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import url as U
-from corpusloom.operators import architecture, closure, discovery, elements, naming, ordering, provenance, repairs, reports, rewriting
+from corpusloom.operators import architecture, closure, discovery, elements, naming, ordering, provenance, repairs, reports, rewriting, upkeep
 from corpusloom.sources.tables import table, texts
 from corpusloom.sources.trees import new_folder, read_tree, write_tree
 
@@ -315,3 +315,22 @@ def judged_repairs(spark, sf_dir):
 def recorded_repairs(spark, sf_dir):
     """The history of the repairs that are kept."""
     return repairs.recorded(proposed_repairs(spark, sf_dir), "user_id", ["ts", "event_id"], ("run.json",)).select("event_id", "attempt", "previous_signature", "converged")
+
+
+# --- convergence, batch by batch
+
+
+@query("""WITH a AS (SELECT *, row_number() OVER w - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run, lag(event_type, 2) OVER w AS l2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, run ORDER BY ts, event_id) AS consecutive FROM a) SELECT event_id, consecutive, consecutive >= 2 OR coalesce(event_type = l2, false) AS non_convergent FROM b""")
+def convergence_by_batches(spark, sf_dir):
+    """What failure_convergence tells, from three batches of events in order of time, the second of which comes twice."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    third = F.least(F.floor((at - F.lit(low or 0)) * 3 / F.lit(max((high or 0) - (low or 0), 1))), F.lit(2))
+    root, out = new_folder(spark, "convergence"), []
+    for i in (0, 1, 1, 2):
+        batch = events.where(third == i) if i else events.where((third == 0) | F.col("ts").isNull())
+        out.append(upkeep.carry_on(batch, root, f"batch-{i}", "user_id", "event_type", ["ts", "event_id"]))
+    del out[1]  # it and the one after are the same rows
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("event_id", "consecutive", "non_convergent")
