@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import json_strings
+
 
 def totals(entries: DataFrame, categories: list[str]) -> DataFrame:
     """category, n for each of a short list of categories: how many entries (array<struct<kind, ..>>) all rows hold; 0 where none."""
@@ -54,19 +56,9 @@ def merged(defaults: Column, given: Column) -> Column:
     return F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(given, k)), given)
 
 
-def deep_strings(rows: DataFrame, key: str, json: str, depth: int = 64) -> DataFrame:
-    """key, text: every string in JSON texts, at whatever depth; raises beyond `depth`. One pass for each level; what is no JSON has none."""
-    level = rows.select(key, F.try_parse_json(json).alias("v")).where("v is not null")
-    kind = F.schema_of_variant("v")
-    found = None
-    for _ in range(depth):
-        strings = level.where(kind == "STRING").select(key, F.variant_get("v", "$", "string").alias("text"))
-        found = strings if found is None else found.unionByName(strings)
-        level = level.where(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")))
-        if not level.take(1):
-            return found
-        level = level.sparkSession.sql(f"SELECT {key}, e.value AS v FROM {{level}}, LATERAL variant_explode(v) AS e", level=level)
-    raise RuntimeError(f"JSON is nested deeper than {depth} levels")
+def deep_strings(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """key, text: every string in JSON texts, at whatever depth, in one pass without a loop over levels; what is no JSON to Spark has none."""
+    return rows.select(key, F.explode(json_strings(F.col(json))).alias("text"))
 
 
 def site_summary(pages: DataFrame, route: Column, scripts: Column, title: Column) -> DataFrame:

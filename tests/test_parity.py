@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import captures, catalog, vectors
+from corpusloom.plans import captures, catalog, gates, vectors
 
-QUERIES, SQL = catalog.QUERIES | vectors.QUERIES | captures.QUERIES, catalog.SQL | vectors.SQL | captures.SQL
+QUERIES, SQL = catalog.QUERIES | vectors.QUERIES | captures.QUERIES | gates.QUERIES, catalog.SQL | vectors.SQL | captures.SQL | gates.SQL
 SF = "/root/testdata/sf0.001"
 
 
