@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.classify import authorization, license_file
 from corpusloom.functions.text import collapsed, normalized, user_facing
 from corpusloom.operators.ordering import path_fingerprint
 
@@ -117,3 +118,23 @@ def precedence(statuses: DataFrame, by: str) -> DataFrame:
     """One decision a group: restricted if any row is, else unverified if any is, else covered."""
     any_of = lambda s: F.bool_or(F.col("status") == s)
     return statuses.groupBy(by).agg(F.when(any_of("restricted"), F.lit("restricted")).when(any_of("unverified"), F.lit("unverified")).otherwise(F.lit("covered")).alias("decision"))
+
+
+def authorization_items(public: DataFrame, site: DataFrame, by: str) -> DataFrame:
+    """by, path, sha256, status of each file that is to be published (by, path, sha256): restricted, covered, or unverified.
+
+    Vendors' files are covered where the captured files of the group (by, path) hold a license; null is a group, too.
+    """
+    licensed = site.where(license_file(F.col("path"))).select(F.col(by).alias("_by"), F.lit(True).alias("_licensed")).distinct()
+    rows = public.join(licensed, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return rows.select(by, "path", "sha256", authorization(F.col("path"), F.col("_licensed").isNotNull()).alias("status"))
+
+
+def authorization_manifest(public: DataFrame, site: DataFrame, by: str) -> DataFrame:
+    """by, items, restricted, unverified, covered, licenses, decision of each group that has a file in either table; a group with nothing to publish is covered. It lists evidence and grants nothing."""
+    nothing = F.lit(0).cast("long")
+    items = authorization_items(public, site, by).select(by, "status", nothing.alias("license"))
+    found = site.select(by, F.lit(None).cast("string").alias("status"), license_file(F.col("path")).cast("long").alias("license"))
+    of = lambda s: F.count_if(F.col("status") == s)
+    out = items.unionByName(found).groupBy(by).agg(F.count("status").alias("items"), *[of(s).alias(s) for s in ("restricted", "unverified", "covered")], F.coalesce(F.sum("license"), nothing).alias("licenses"))
+    return out.withColumn("decision", F.when(F.col("restricted") > 0, "restricted").when(F.col("unverified") > 0, "unverified").otherwise("covered"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import classify as C
 from corpusloom.functions import url as U
-from corpusloom.operators import conversion, delivery, gates, reports
+from corpusloom.operators import conversion, delivery, gates, provenance, reports
 from corpusloom.plans.captures import HOST, PATH, PLAIN, of_any_size
 from corpusloom.sources.tables import table
 
@@ -125,6 +125,33 @@ def oracle_gate(spark, sf_dir):
     return gates.oracle_gate(files, pages.select(F.sha2("html", 256).alias("sha256")))
 
 
+# --- authorization
+
+SHOWN = "CASE WHEN i % 20 < 5 AND i // 20 % 7 = 3 THEN 'x/Logo/' || i WHEN i % 20 < 12 AND i // 20 % 3 = 1 THEN 'js/' || i WHEN i % 2 = 0 THEN 'vendor/' || i ELSE 'a/Third-Party/' || i END"
+HELD = "CASE WHEN i // 20 % 9 = 2 AND i % 3 <> 0 AND i % 20 NOT IN (2, 13, 19) THEN 'lib' || i || '/COPYING.txt' ELSE 'copying/' || i END"
+ITEMS = f"""WITH d AS (SELECT doc_id AS i, source, coalesce(text, '') AS text FROM documents), l AS (SELECT source, count(*) FILTER (h LIKE 'lib%') AS licenses FROM (SELECT source, {HELD} AS h FROM d) GROUP BY source),
+t AS (SELECT d.source, {SHOWN} AS path, sha256(text) AS sha256, licenses FROM d JOIN l ON l.source IS NOT DISTINCT FROM d.source),
+s AS (SELECT *, CASE WHEN path LIKE 'x/%' THEN 'restricted' WHEN licenses > 0 AND path NOT LIKE 'js/%' THEN 'covered' ELSE 'unverified' END AS status FROM t)"""
+
+
+def published(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs, spark_sql = documents(spark, sf_dir), lambda e: e.replace("//", "div")
+    return inventory(docs, spark_sql(SHOWN), "false", by=("source",)), docs.select("source", F.expr(spark_sql(HELD)).alias("path"))
+
+
+@query(f"{ITEMS} SELECT source, path, sha256, status FROM s")
+def authorization_items(spark, sf_dir):
+    """What is known of the right to publish each file (documents; sources for sites)."""
+    return provenance.authorization_items(*published(spark, sf_dir), "source")
+
+
+@query(f"""{ITEMS}, g AS (SELECT source, count(*) AS items, count(*) FILTER (status = 'restricted') AS restricted, count(*) FILTER (status = 'unverified') AS unverified, count(*) FILTER (status = 'covered') AS covered, max(licenses) AS licenses FROM s GROUP BY source)
+SELECT *, CASE WHEN restricted > 0 THEN 'restricted' WHEN unverified > 0 THEN 'unverified' ELSE 'covered' END AS decision FROM g""")
+def authorization_manifest(spark, sf_dir):
+    """The authorization manifest of each source."""
+    return provenance.authorization_manifest(*published(spark, sf_dir), "source")
+
+
 # --- conversion
 
 SUFFIX = "CASE WHEN page_id % 5 = 0 THEN '/index.html' WHEN page_id % 5 = 4 THEN '.txt' ELSE '.html' END"

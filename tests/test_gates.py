@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import conversion, delivery, gates, reports
+from corpusloom.operators import conversion, delivery, gates, provenance, reports
 
 
 def rows(df):
@@ -84,6 +84,14 @@ def test_oracle(spark):
     assert gates.oracle_gate(own.limit(0), captured).first()[:3] == (0, 0, False)
 
 
+def test_authorization(spark):
+    public = files(spark, ("a", "vendor/x.js", "1"), ("a", "p.png", "2"), ("b", "vendors/y", "3"), (None, "third-party/z", "4"), ("c", "brand/logo.svg", "5"), columns="site string, path string, sha256 string")
+    site = files(spark, ("a", "LICENSE"), ("b", "licensed.js"), (None, "lib/z.license.txt"), ("d", "x"), columns="site string, path string")
+    assert {(r.site, r.path): r.status for r in provenance.authorization_items(public, site, "site").collect()} == {("a", "vendor/x.js"): "covered", ("a", "p.png"): "unverified", ("b", "vendors/y"): "unverified", (None, "third-party/z"): "covered", ("c", "brand/logo.svg"): "restricted"}
+    want = [("a", 2, 0, 1, 1, 1, "unverified"), ("b", 1, 0, 1, 0, 0, "unverified"), (None, 1, 0, 0, 1, 1, "covered"), ("c", 1, 1, 0, 0, 0, "restricted"), ("d", 0, 0, 0, 0, 0, "covered")]
+    assert rows(provenance.authorization_manifest(public, site, "site")) == sorted(want, key=repr)
+
+
 def test_conversion(spark):
     page = "<html lang=en><head><title>{}</title>{}</head><body>{}</body></html>"
     given = [
