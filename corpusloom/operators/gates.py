@@ -9,7 +9,7 @@ from corpusloom.functions import url as U
 from corpusloom.operators.ordering import path_fingerprint
 
 # What the trace of a run follows; reports among it that may be written by hand; files that conversion may change.
-TRACKED = ("react/src", "react/public", "react/reports", "react/package.json", "react/package-lock.json", "react/tsconfig.json", "react/vite.config.ts", "proof/proof-contract.json", ".cloner/oracle/manifest.json", ".cloner/repair-history.json")
+TRACKED = ("react/src", "react/public", "react/reports", "react/package.json", "react/package-lock.json", "react/tsconfig.json", "react/vite.config.ts", "proof/proof-contract.json")
 BY_HAND = ("react/reports/proof-profile.json", "react/reports/engine-contract.json")
 REPORTS = "react/reports/"
 PASSED_OVER = ("/node_modules/", "/dist/")
@@ -56,19 +56,20 @@ def baseline_gate(current: DataFrame, baseline: DataFrame, by: list[str] | None
     return out.withColumn("passed", F.expr("not baseline_missing and modified = 0 and untracked = 0 and missing = 0"))
 
 
-def tracked(path: Column) -> Column:
-    """Whether the trace of a run follows a file: one of the tracked files, or below a tracked folder, built and installed files apart."""
-    return _any([(path == t) | F.startswith(path, F.lit(f"{t}/")) for t in TRACKED]) & ~_any([F.contains(path, F.lit(p)) for p in PASSED_OVER])
+def tracked(path: Column, own: tuple[str, ...] = ()) -> Column:
+    """Whether the trace of a run follows a file: one of the tracked files or of `own` (what a run keeps of itself), or below such a folder, built and installed files apart."""
+    return _any([(path == t) | F.startswith(path, F.lit(f"{t}/")) for t in (*TRACKED, *own)]) & ~_any([F.contains(path, F.lit(p)) for p in PASSED_OVER])
 
 
-def run_changes(before: DataFrame, start: DataFrame, end: DataFrame, by: list[str] | None = None) -> DataFrame:
+def run_changes(before: DataFrame, start: DataFrame, end: DataFrame, by: list[str] | None = None, own: tuple[str, ...] = ()) -> DataFrame:
     """by, path, made_by (outside: between runs, pipeline: within one), status, forbidden of every change of what a trace follows.
 
     before: the snapshot that the last run left; a group without any row in it has no outside changes to tell of. A
-    report that was changed is forbidden unless it may be written by hand.
+    report that was changed is forbidden unless it may be written by hand. own: files and folders that are followed, too,
+    such as a run's manifest of its oracle and its history of repairs.
     """
     by = by or []
-    of = lambda t: t.where(tracked(F.col("path")))
+    of = lambda t: t.where(tracked(F.col("path"), own))
     both = F.array(F.struct(F.lit("outside").alias("made_by"), _change(F.col("was"), F.col("start")).alias("status")), F.struct(F.lit("pipeline").alias("made_by"), _change(F.col("start"), F.col("end")).alias("status")))
     rows = _sides(by, was=of(before), start=of(start), end=of(end)).select(*by, "path", F.explode(both).alias("c")).select(*by, "path", "c.*").where("status is not null")
     runs = before.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.lit(True).alias("_any"))

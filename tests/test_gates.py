@@ -53,6 +53,7 @@ def test_changes_of_a_run(spark):
     before = files(spark, ("other", "0"))
     outside = [(p, "outside", "added", False) for p in ("react/package.json", "react/reports/proof-profile.json", "react/reports/x.json", "react/src/a.ts")]
     assert rows(gates.run_changes(before, start, end)) == sorted(within + outside, key=repr)
+    assert ("other", "pipeline", "modified", False) in rows(gates.run_changes(before, start, end, own=("other",)))
 
 
 def test_a_group_without_a_name_is_a_group(spark):
