@@ -255,6 +255,13 @@ def fillings(n: np.ndarray, room: int, waste: int) -> list[tuple[int, ...]]:
             n[chosen[-1]] += 1
 
     go(0, room, ())
+    if not found:  # short lengths may need more of them than there are steps: the longest that fits, each time
+        filled, left = [], room
+        for s in sizes:
+            k = min(int(n[s]), left // s)
+            filled += [s] * k
+            left -= s * k
+        return [tuple(filled)] if left <= waste else []
     found = sorted(set(found), key=lambda f: (room - sum(f), tuple(-s for s in f)))
     kept: list[tuple[int, ...]] = []
     for f in found:

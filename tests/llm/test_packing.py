@@ -148,3 +148,13 @@ def test_odd_tables(spark):
     assert found.dtypes == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
     checked(found.collect(), texts)
     assert packing.packed(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("counts", [{3: 10_000, 7: 5_000}, {1: 1}, {2: 100_000, 3: 5, 2048: 7}, {s: 1003 for s in range(1, 12)}])
+def test_lengths_so_short_that_a_sequence_takes_more_than_there_are_steps(counts):
+    patterns, used = packing.completed(counts), Counter()
+    for pattern, many in patterns:
+        assert sum(pattern) <= packing.LENGTH
+        used.update({s: c * many for s, c in Counter(pattern).items()})
+    assert used == Counter(counts)
+    assert sum(m for _, m in patterns) <= packing.least_sequences(counts, packing.LENGTH) + 1
