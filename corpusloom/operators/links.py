@@ -39,7 +39,7 @@ def page_of_route(pages: DataFrame) -> DataFrame:
 def _searched(edges: DataFrame, starts: DataFrame, most: int) -> tuple[DataFrame, bool]:
     """node, distance of what `most` rounds reach, and whether more may be left. Lineage is cut each round where there is a checkpoint folder."""
     keep = edges.sparkSession.sparkContext.getCheckpointDir() or edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if keep:
+    if keep and not edges.sparkSession.sparkContext.getCheckpointDir():
         edges.sparkSession.sparkContext.setCheckpointDir(keep)
     seen = starts.select("node").distinct().withColumn("distance", F.lit(0))
     front = seen

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def _kept(df: DataFrame) -> DataFrame:
     """Rows that stay in their partitions however often they are read: in the cluster's checkpoint folder, or, where there is none, in memory and on disk."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        spark.sparkContext.setCheckpointDir(folder)
+    if not spark.sparkContext.getCheckpointDir() and spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))  # once: Spark adds a folder of its own to it each time
+    if spark.sparkContext.getCheckpointDir():
         return df.checkpoint()
     return df.persist()
 

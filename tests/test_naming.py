@@ -40,3 +40,23 @@ def test_small_cases(spark):
     assert named(spark, []) == {}
     with pytest.raises(RuntimeError):
         named(spark, [(1, "a2"), (2, "a3"), (3, "a4"), (4, "a"), (5, "a")], limit=2)
+
+
+def test_names_that_take_each_others_numbers_over_and_over(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "a1", "a1", "a1", "a11", "a12", "a10", "a0", "b", "b2\n", "b\n", "é", "é2"])) for i in range(3000)]
+    asked = []
+    monkeypatch.setattr(naming, "_kept", lambda df, kept=naming._kept: asked.append(df) or kept(df))
+    assert named(spark, rows) == in_turn(rows)
+    assert len(asked) <= 3  # by rounds, one for each number passed over, there were hundreds
+
+
+def test_steps_that_are_kept_do_not_nest_their_folders(spark, tmp_path):
+    from corpusloom.operators import ordering
+
+    folder = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(folder or str(tmp_path))
+    at = spark.sparkContext.getCheckpointDir()
+    for _ in range(3):
+        ordering._kept(spark.range(3))
+    assert spark.sparkContext.getCheckpointDir() == at
