@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import dropped, parts_for, small_batches, written
-from corpusloom.llm.components import components
+from corpusloom.llm.components import forest, with_roots
 from corpusloom.llm.shingles import mixed, overlap, shingle_set
 
 #: Cells of the table of counts, a power of two, and the pieces that it is summed in.
@@ -293,15 +293,14 @@ def _linked(texts: DataFrame) -> DataFrame | None:
     units, member = written(units, "jaccard-units"), written(member, "jaccard-members")
     dropped(found, groups)
 
-    links: DataFrame | None = None
-    label: DataFrame | None = None
+    label: DataFrame | None = None  # the components so far, as stars u, v
     left, right = member.select(F.col("u").alias("p"), F.col("key").alias("a")), member.select(F.col("u").alias("q"), F.col("key").alias("b"))
     for i in range(PIVOTS + 1):
         if not lists.take(1):
             break
         spans = member.select("u", F.col("key").alias("lo"), F.col("key").alias("hi"))
         if label is not None:  # a list is done when all in it is one component
-            spans = member.join(label, F.col("key") == F.col("id"), "left").select("u", F.coalesce("component", "key").alias("lo"), F.coalesce("component", "key").alias("hi"))
+            spans = member.join(label.select(F.col("u").alias("id"), F.col("v").alias("component")), F.col("key") == F.col("id"), "left").select("u", F.coalesce("component", "key").alias("lo"), F.coalesce("component", "key").alias("hi"))
         spans = spans.groupBy("u").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         # Of near copies the least edited one is in most lists; as a pivot it links most others at once.
         spans = spans.join(lists.groupBy("u").agg(F.count("*").alias("listed")), "u")
@@ -313,6 +312,9 @@ def _linked(texts: DataFrame) -> DataFrame | None:
             key = F.struct((-F.col("listed")).alias("often"), F.xxhash64("u", F.lit(i)).alias("h"), x).alias("key")
             at = at.select("token", key).selectExpr("token", "key.x as x", f"(min(key) over ({token})).x as y").where("x.u <> y.u")
             at = written(at, "jaccard-round")
+            if not at.take(1):  # all lists are done
+                dropped(before, at)
+                break
             pairs, lists = at.where(apart & _may_link("x", "y")), at.select("token", "x.u", "x.n", "x.pos")
         else:
             at = written(at.select("token", x), "jaccard-round")
@@ -324,9 +326,9 @@ def _linked(texts: DataFrame) -> DataFrame | None:
             lists = written(lists, "jaccard-lists")
         dropped(before, at)
         if linked.take(1):
-            links = linked if links is None else links.unionByName(linked)
-            label = components(links, "a", "b")
-    return label
+            known, label = label, forest(linked if label is None else linked.unionByName(label.select(F.col("u").alias("a"), F.col("v").alias("b"))), "a", "b")
+            dropped(linked, *[known] * (known is not None))
+    return label if label is None else with_roots(label)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

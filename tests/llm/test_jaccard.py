@@ -2,8 +2,9 @@ import random
 
 import pytest
 
+from corpusloom.llm import components as component_search
 from corpusloom.llm import jaccard
-from corpusloom.llm.common import table
+from corpusloom.llm.common import table, written
 from corpusloom.llm.components import components
 
 
@@ -100,3 +101,21 @@ def test_classes_set_aside_link_with_nothing(spark):
     left = {r.n for r in jaccard.not_apart(packed).collect()}
     total = packed.where("chunk is null and n > 0").select("c1").distinct().count()
     assert 0 < len(left) < total
+
+
+@pytest.mark.parametrize(("edges", "rounds"), [([(0, i) for i in range(1, 30)] + [(50, 51)], 0), ([(7, i) for i in range(30)], 1), ([], 0)])
+def test_stars_are_seen_without_a_round_more(spark, monkeypatch, edges, rounds):
+    names = []
+    monkeypatch.setattr(component_search, "written", lambda df, name: names.append(name) or written(df, name))
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {i: min(e) if min(e) == 50 else 0 for e in edges for i in e}
+    assert len(names) == 1 + rounds
+
+
+def test_lists_that_are_done_are_not_paired_once_more(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(jaccard, "written", lambda df, name: names.append(name) or written(df, name))
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(40)] + [(90 + i, f"{i} b c d e f g {i}") for i in range(5)]
+    agree(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert 0 < names.count("jaccard-links") < names.count("jaccard-round")
