@@ -13,12 +13,14 @@ own; a null id is one like any other; an empty table gives no rows; extra column
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +32,14 @@ MODEL, LENGTH, END = "/opt/tokenizers/word_bpe_49k.json", 2048, 0
 NODES, STEPS, WIDTH = 1_000, 200, 6
 #: Distinct chunks of text whose ids a worker remembers; it starts anew beyond that.
 REMEMBERED = 700_000
+#: Bytes of text that are encoded at a time. Marks of which a run behind a word is a token group of its own.
+BLOCK, MARKS = 1 << 22, ".,;:!?#$%&*"
 
 Pattern = tuple[tuple[int, ...], int]  # lengths in one sequence, descending; how many sequences are filled so
 
 
 class Coder:
-    """Ids of texts. White space of ASCII parts a text into chunks that the tokenizer encodes apart; each distinct chunk is encoded once."""
+    """Ids of texts. White space of ASCII parts texts into chunks that the tokenizer encodes apart; each distinct chunk is encoded once, and so is each lower-cased word in them."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -46,52 +50,91 @@ class Coder:
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(256) if chr(c).isalpha()]
         self.letters = {ord(c): byte_level.pre_tokenize_str(c.lower())[0][0] for c in letters}
+        self.words: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pool = np.empty(1 << 20, np.int32)
-        self.used = 0
+        self.known: dict[str, int] = {"": 1}
+        self.pool = np.empty(1 << 20, np.uint32)
+        self.pool[0] = END
+        self.used = 1
         self.first, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-
-    def _encode(self, chunk: str) -> list[int]:
-        """Words of Latin letters, with or without a mark behind them, need no normalising and no splitting."""
-        core, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,;:" and len(chunk) > 1 else (chunk, "")
-        if core.isalpha() and max(core) < "Ā":
-            ids = [t.id for t in self.word.tokenize(core.translate(self.letters))]
-            return ids + [t.id for t in self.word.tokenize(mark)] if mark else ids
-        return self.whole.encode(chunk, add_special_tokens=False).ids
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        at = len(self.known)
+        self.count[0] = 1  # code 0 is a document's end, 1 what white space at a text's ends leaves
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a normalised word or of its marks, as 32-bit numbers."""
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+            found = self.words[word] = array("I", [t.id for t in self.word.tokenize(word)]).tobytes()
+        return found
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Words of Latin letters, with or without marks behind them, need no normalising but lower case and no splitting."""
+        ids, ends, word = bytearray(), [], self._word
         for c in chunks:
-            ids = self._encode(c.decode())
-            n = len(ids)
-            while self.used + n > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            if at == len(self.first):
-                self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-            self.pool[self.used : self.used + n] = ids
-            self.first[at], self.count[at] = self.used, n
-            self.known[c] = at
-            self.used, at = self.used + n, at + 1
+            core = c.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < "Ā"):
+                ids += word(core.lower() if core.isascii() else core.translate(self.letters))
+                if len(core) < len(c):
+                    ids += word(c[len(core) :])
+            else:
+                ids += array("I", self.whole.encode(c, add_special_tokens=False).ids).tobytes()
+            ends.append(len(ids) // 4)
+        at, n = len(self.known) + 1, len(chunks)
+        while self.used + ends[-1] > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while at + n > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.pool[self.used : self.used + ends[-1]] = np.frombuffer(ids, np.uint32)
+        self.first[at : at + n] = self.used + np.array([0, *ends[:-1]])
+        self.count[at : at + n] = np.diff(ends, prepend=0)
+        self.known.update(zip(chunks, range(at, at + n), strict=True))
+        self.used += ends[-1]
+
+    def _ids(self, texts: pa.Array, over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, an end behind each that is over; where these ends are, each exclusive."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        split = pc.ascii_split_whitespace(texts)
+        flat = split.flatten().dictionary_encode()
+        chunks = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = list(map(self.known.get, chunks))
+        if None in codes:
+            self._learn([c for c, code in zip(chunks, codes, strict=True) if code is None])
+            codes = list(map(self.known.get, chunks))
+        behind = split.offsets.to_numpy()[1:][over]
+        codes = np.insert(np.array(codes, np.int64)[flat.indices.to_numpy()], behind, 0)
+        n = self.count[codes]
+        until = np.cumsum(n)
+        ids = self.pool[np.repeat(self.first[codes] - until + n, n) + np.arange(n.sum())]
+        return ids, until[behind + np.arange(len(behind))]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts in a row, each with its end; where each is over. About BLOCK bytes are taken at a time."""
+        texts = pc.fill_null(texts, "")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+        found, ends, at, done = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], 0, 0
+        while at < len(texts):
+            before = int(upto[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, before + BLOCK, "right")))
+            if upto[to - 1] - before > BLOCK:
+                cut = [b.decode() for b in blocks(texts[at].as_py().encode(), BLOCK)]
+                parts = [(pa.array([b]), np.array([i == len(cut) - 1])) for i, b in enumerate(cut)]
+            else:
+                parts = [(texts[at:to], np.ones(to - at, bool))]
+            for part, over in parts:
+                ids, over_at = self._ids(part, over)
+                found.append(ids)
+                ends.append(done + over_at)
+                done += len(ids)
+            at = to
+        return np.concatenate(found), np.concatenate(ends)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text, without an end."""
-        out = []
-        for block in blocks((text or "").encode()):
-            if len(self.known) > REMEMBERED:
-                self.forget()
-            chunks = block.split()
-            known = self.known
-            codes = list(map(known.get, chunks))
-            if None in codes:
-                self._learn([c for c in dict.fromkeys(chunks) if c not in known])
-                codes = list(map(known.get, chunks))
-            codes = np.array(codes, np.int64)
-            n = self.count[codes]
-            out.append(self.pool[np.repeat(self.first[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        return np.concatenate(out) if out else np.empty(0, np.int32)
+        return self.encode_all(pa.array([text], pa.string()))[0][:-1]
 
 
 #: One coder for a worker, whatever tasks it runs.
@@ -118,18 +161,18 @@ def pieces(docs: DataFrame, path: str = MODEL, length: int = LENGTH, ids: bool =
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, row = _coder(spec.value), TaskContext.get().partitionId() << 33
         for batch in batches:
-            owner, numbers, raw = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = np.append(coder.encode(text), END).astype("<u4")
-                for k, start in enumerate(range(0, len(found), length)):
-                    data = found[start : start + length].tobytes()
-                    owner.append(i)
-                    numbers.append((k, start, len(data) // 4, zlib.crc32(data), row))
-                    raw.append(data)
-                    row += 1
-            columns = zip(*numbers, strict=True) if numbers else [[]] * 5
-            arrays = [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, pa.int32() if j == 0 else pa.int64()) for j, c in enumerate(columns))]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(raw, pa.binary())] * ids, names=shape.fieldNames())
+            found, ends = coder.encode_all(batch.column(1))
+            first = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+            each = -(-(ends - first) // length)
+            owner = np.repeat(np.arange(len(ends)), each)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+            at = first[owner] + piece * length
+            until = np.minimum(at + length, ends[owner])
+            data = found.astype("<u4", copy=False).view(np.uint8).data
+            raw = [data[4 * i : 4 * j] for i, j in zip(at.tolist(), until.tolist(), strict=True)]
+            arrays = [batch.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (piece * length, until - at, list(map(zlib.crc32, raw)), row + np.arange(len(owner))))]
+            row += len(owner)
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(map(bytes, raw), pa.binary())] * ids, names=shape.fieldNames())
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(rows, shape)
 

@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -158,3 +159,15 @@ def test_lengths_so_short_that_a_sequence_takes_more_than_there_are_steps(counts
         used.update({s: c * many for s, c in Counter(pattern).items()})
     assert used == Counter(counts)
     assert sum(m for _, m in patterns) <= packing.least_sequences(counts, packing.LENGTH) + 1
+
+
+@pytest.mark.parametrize("block", [1, 64, 1 << 22])
+def test_texts_are_encoded_together_and_each_word_once(monkeypatch, block):
+    monkeypatch.setattr(packing, "BLOCK", block)
+    coder = packing.Coder(open(packing.MODEL).read())
+    texts = [*ODD, "One one, ONE. one$$$ !? ?!a", "", "é" * 500 + "  x\t", None]
+    ids, ends = coder.encode_all(pa.array(texts, pa.string()))
+    assert [ids[i:j].tolist() for i, j in zip([0, *ends[:-1]], ends, strict=True)] == [whole(t) for t in texts]
+    assert {"one", "two", "$$$"} < coder.words.keys() and not {"One", "ONE", "one,"} & coder.words.keys()
+    ids, ends = coder.encode_all(pa.array([], pa.string()))
+    assert len(ids) == len(ends) == 0
